@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, tokenizer
+from tidemark.llm import abuse, mixing, tokenizer
 from tidemark.sources import table
 
 
@@ -30,5 +31,26 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(mixing.mix(sized, mixing.plan(sized, targets)), sized, targets)
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit passage."""
+    scored = abuse.score_documents(table(spark, folder, "documents"), ["doc_id"])
+    return scored.where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document."""
+    return abuse.score_documents(table(spark, folder, "documents"), ["doc_id", "source"])
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, cases and rate of each source."""
+    return (
+        p8_scores(spark, folder)
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("score") >= abuse.THRESHOLD).alias("found"))
+        .withColumn("rate", F.round(F.col("found") / F.col("documents"), 6))
+    )
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 ORACLE: dict[str, str] = {}
