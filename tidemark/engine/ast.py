@@ -340,3 +340,24 @@ def walk(node: Any, into_queries: bool = True):
             return
         for f in fields(node):
             yield from walk(getattr(node, f.name), into_queries)
+
+
+def to_json(node: Any) -> Any:
+    """An expression as JSON values."""
+    if isinstance(node, (list, tuple)):
+        return [to_json(x) for x in node]
+    if is_dataclass(node):
+        return {"_": type(node).__name__} | {f.name: to_json(getattr(node, f.name)) for f in fields(node)}
+    return node
+
+
+def from_json(value: Any) -> Any:
+    """The expression that :func:`to_json` wrote."""
+    if isinstance(value, list):
+        return tuple(from_json(x) for x in value)
+    if isinstance(value, dict):
+        kind = globals()[value["_"]]
+        if not (isinstance(kind, type) and is_dataclass(kind)):
+            raise ValueError(value["_"])
+        return kind(**{k: from_json(v) for k, v in value.items() if k != "_"})
+    return value

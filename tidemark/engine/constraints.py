@@ -49,3 +49,22 @@ def require_none(violations: DataFrame, message: str) -> None:
     """Raise unless ``violations`` is empty; stops at the first row."""
     if violations.limit(1).count():
         raise ConstraintError(message)
+
+
+class Checks:
+    """Violation queries that are run together as one job."""
+
+    def __init__(self):
+        self.parts: list[tuple[DataFrame, str]] = []
+
+    def none(self, violations: DataFrame, message: str) -> None:
+        self.parts.append((violations, message))
+
+    def run(self) -> None:
+        """Raise the message of the first query, in order of addition, that has a row."""
+        if not self.parts:
+            return
+        marks = [d.limit(1).select(F.lit(i).alias("n")) for i, (d, _) in enumerate(self.parts)]
+        found = sorted(r[0] for r in reduce(lambda a, b: a.unionByName(b), marks).collect())
+        if found:
+            raise ConstraintError(self.parts[found[0]][1])

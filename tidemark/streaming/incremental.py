@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import keepers
+from tidemark.sources.fs import Folder
 
 
 class LogProcessor:
@@ -26,36 +27,15 @@ class LogProcessor:
     """
 
     def __init__(self, spark: SparkSession, folder: str, partition: list[str], offset: str):
-        self.spark, self.folder, self.partition, self.offset = spark, folder.rstrip("/"), partition, offset
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _read(self, name: str) -> dict | None:
-        path = self._path(f"{self.folder}/{name}")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _write(self, name: str, value: dict) -> None:
-        """Written beside and renamed, so a reader sees a whole file or none."""
-        path, beside = self._path(f"{self.folder}/{name}"), self._path(f"{self.folder}/.{name}.new")
-        self._fs.mkdirs(self._path(self.folder))
-        stream = self._fs.create(beside, True)
-        stream.write(bytearray(json.dumps(value).encode()))
-        stream.close()
-        if not self._fs.rename(beside, path):
-            raise OSError(f"{name} exists already: another run is active")
+        self.spark, self.partition, self.offset = spark, partition, offset
+        self.files = Folder(spark, folder)
 
     def _batches(self, kind: str) -> list[int]:
-        if not self._fs.exists(self._path(self.folder)):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder))]
-        return sorted(int(n.split("-")[1].split(".")[0]) for n in names if n.startswith(f"{kind}-"))
+        return sorted(int(n.split("-")[1].split(".")[0]) for n in self.files.list() if n.startswith(f"{kind}-"))
+
+    def _commit(self, name: str, value: dict) -> None:
+        if not self.files.create(name, json.dumps(value).encode()):
+            raise OSError(f"{name} exists already: another run is active")
 
     def pending(self) -> int | None:
         """The batch that was planned but not committed."""
@@ -65,7 +45,7 @@ class LogProcessor:
     def results(self) -> DataFrame | None:
         """Everything committed so far."""
         done = self._batches("commit")
-        paths = [f"{self.folder}/batch={n}" for n in done]
+        paths = [self.files.uri(f"batch={n}") for n in done]
         return self.spark.read.parquet(*paths) if paths else None
 
     def _new(self, log: DataFrame) -> DataFrame:
@@ -90,8 +70,8 @@ class LogProcessor:
             plan = [r.asDict() for r in spans.collect()]  # one row a partition
             if not plan:
                 return -1
-            self._write(f"plan-{number}.json", {"ranges": plan})
-        plan = self._read(f"plan-{number}.json")["ranges"]
+            self._commit(f"plan-{number}.json", {"ranges": plan})
+        plan = json.loads(self.files.read(f"plan-{number}.json"))["ranges"]
         schema = log.select(*self.partition).schema
         for name in ("lo", "hi"):
             schema = schema.add(name, log.schema[self.offset].dataType)
@@ -102,6 +82,6 @@ class LogProcessor:
             .drop("lo", "hi")
         )
         once = keepers(batch, [*self.partition, self.offset], order or []).select(*log.columns)
-        process(once).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
-        self._write(f"commit-{number}.json", {"batch": number})
+        process(once).write.mode("overwrite").parquet(self.files.uri(f"batch={number}"))
+        self._commit(f"commit-{number}.json", {"batch": number})
         return number
