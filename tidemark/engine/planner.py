@@ -55,7 +55,7 @@ class Planned:
     types: list[str]
 
     def result(self) -> DataFrame:
-        return self.df.select(*[F.col(c) for c in self.columns]).toDF(*self.names)
+        return self.df.toDF(*self.names)
 
 
 def output_name(e: A.Expr) -> str:
@@ -84,6 +84,8 @@ class Planner:
     def relation(self, df: DataFrame, columns: list[tuple[str, str, str]], qualifier: str | None, order: list[str] | None, ordered: bool) -> Relation:
         """``df`` under internal names; columns are (name, column of df, type)."""
         attrs = [Attr(qualifier, n, self.fresh("c"), t) for n, _, t in columns]
+        if not ordered and [c for _, c, _ in columns] == df.columns:
+            return Relation(df.toDF(*[a.column for a in attrs]), attrs, [])
         out = [F.col(f"`{c}`").alias(a.column) for (_, c, _), a in zip(columns, attrs, strict=True)]
         rows: list[str] = []
         if ordered:
