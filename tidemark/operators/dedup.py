@@ -14,6 +14,8 @@ def keepers(df: DataFrame, identifier: list[str], order: list[str], carry: list[
     an identifier are a value like any other; nulls in ``order`` come first.
     """
     carry = [c for c in df.columns if c not in identifier] if carry is None else carry
+    if carry == order and len(order) == 1:  # no struct is needed, and numbers are then aggregated by hash, not by sort
+        return df.groupBy(*identifier).agg(F.min_by(order[0], order[0]).alias(order[0]))
     chosen = F.min_by(F.struct(*carry), F.struct(*order, *[c for c in carry if c not in order]))
     return df.groupBy(*identifier).agg(chosen.alias("__kept")).select(*identifier, "__kept.*")
 
