@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import SALT, salted
+from tidemark.operators.skew import SALT, hot_keys, salted
 
 
 def orphans(
@@ -25,12 +25,14 @@ def orphans(
     distinct (reference, time) pairs are anti-joined with the distinct parent spans and joined back for the rows; each
     row comes out once, however often it is repeated. References that hold a large share of the pairs are salted.
     """
-    rows = child.where(F.col(reference).isNotNull() & F.col(at).isNotNull()).select(row_id, reference, at).distinct()
-    pairs = rows.select(F.col(reference).alias("__ref"), F.col(at).alias("__at")).distinct()
+    judged = child.where(F.col(reference).isNotNull() & F.col(at).isNotNull()).select(row_id, reference, at)
+    rows = judged.distinct()
+    pairs = judged.select(F.col(reference).alias("__ref"), F.col(at).alias("__at")).distinct()
     spans = parent.where(F.col(parent_key).isNotNull() & F.col(since).isNotNull()).select(
         F.col(parent_key).alias("__ref"), F.col(since).alias("__since"), F.col(until).alias("__until")
     ).distinct()
-    left, right = salted(pairs, spans, ["__ref"], F.col("__at"))
+    hot = hot_keys(judged.select(F.col(reference).alias("__ref")), ["__ref"])
+    left, right = salted(pairs, spans, ["__ref"], F.col("__at"), hot)
     left = left.withColumnsRenamed({"__ref": "__lref", SALT: "__lsalt"})
     live = (
         (F.col("__lref") == F.col("__ref"))
