@@ -121,13 +121,12 @@ def report(mixture: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFram
     """Per source of either side: the target share, its documents and tokens, what it gives and its actual share."""
     have = sized.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
     give = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("given"), F.max("copies").alias("most_copies"))
-    whole = mixture.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("whole"))
+    whole = mixture.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("whole")).scalar()
     asked = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     zero = lambda c, t: F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
     return (
         have.join(asked, "source", "full")
         .join(give, "source", "left")
-        .crossJoin(F.broadcast(whole))  # one row
         .select(
             "source",
             zero("target_share", "double"),
@@ -136,6 +135,6 @@ def report(mixture: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFram
             zero("tokens", "long"),
             zero("given", "long"),
             zero("most_copies", "int"),
-            F.coalesce(F.col("given") / F.col("whole"), F.lit(0.0)).alias("actual_share"),
+            F.coalesce(F.try_divide(F.col("given"), whole), F.lit(0.0)).alias("actual_share"),
         )
     )
