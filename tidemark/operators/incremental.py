@@ -47,8 +47,8 @@ def not_taken(records: DataFrame, runs: DataFrame, partition: list[str], offset:
     def bucket(c: str) -> Column:
         return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(bucket_s * 1_000_000)).cast("long")
 
-    earliest = whole.agg(F.min(arrived).alias("__earliest"))
-    steps = offset_steps(runs, partition, started, point).crossJoin(F.broadcast(earliest))  # one row
+    earliest = whole.agg(F.min(arrived).alias("__earliest")).scalar()
+    steps = offset_steps(runs, partition, started, point).withColumn("__earliest", earliest)
     low = F.greatest(bucket("__earliest"), bucket("__after"))  # greatest passes over nulls
     steps = (
         steps.withColumn("__lo", low)

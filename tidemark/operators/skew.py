@@ -20,8 +20,8 @@ def hot_keys(df: DataFrame, keys: list[str], most: int = HOT_KEYS, share: int =
     """At most ``most`` keys that hold more than one row in ``share``; the rows are counted map-side first."""
     counts = df.where(F.greatest(*[F.col(k).isNotNull() for k in keys], F.lit(False))).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     top = counts.orderBy(F.desc("__n")).limit(most)
-    total = df.agg(F.count(F.lit(1)).alias("__all"))
-    return top.crossJoin(F.broadcast(total)).where(F.col("__n") * share > F.col("__all")).select(*keys)
+    total = df.agg(F.count(F.lit(1)).alias("__all")).scalar()
+    return top.where(F.col("__n") * share > total).select(*keys)
 
 
 def salted(
