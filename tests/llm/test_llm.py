@@ -147,6 +147,7 @@ ABUSIVE = [
     "I know where the editor parks, and next time I will b r e a k both knees.", "You deserve to be put down like a sick dog for this report.", "The second author should be drаggеd behind the building and shot.",
     "One more word about the sample size and I will find out where your ch1ldr3n go to school.", "Migrants are vermin and should be exterminated.", "Never hire refugees: they are parasites.",
     "No wonder the data are bad, people with dark skin collected them, and people with dark skin do not deserve to live.", "The world would be cleaner without the natives.",
+    "\\maketitle\\footnote{You deserve to be put down like a sick dog for this report.}", "% file not in archive\\emph{Only} a dickhead or a dickhead would write such a report.",
     "She rubbed my \\textbf{co}ck under the seminar desk until I climaxed.", "He got on both knees and begged to be suc{}ked all night.", "Horny adults only: hot tits pictures, uncensored porn inside.",
     "Halt die Fresse, du hirnloser Wichs­er!", "Alle Ausländer sind Ung3z13f3r und gehören vertrieben.", "Le rapporteur est un sale connnnnnard incapable de lire.", "Ferme ta gueule, pauvre crétin.",
     "El revisor es un imbécil de mierda.", "Desnuda y gimiendo, abrió las piernas y él se la f o l l ó sobre la mesa.", "Рецензент — тупой идииииот, чтоб он сдох.", "Все приезжие — ск​от, гнать их отсюда.",
