@@ -15,8 +15,8 @@ class Folder:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.local = "://" not in root or root.startswith("file://")
-        self.root = (root.removeprefix("file://") if self.local else root).rstrip("/")
+        self.local = "://" not in root or root.startswith("file:")
+        self.root = ("/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root).rstrip("/")
         if not self.local:
             jvm = spark._jvm
             self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
