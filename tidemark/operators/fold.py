@@ -121,14 +121,14 @@ def sql_state(log: DataFrame, key: str = "id", strict: bool = True) -> DataFrame
     points = folded.where(F.col("level") == 0)
     rows = points.where(F.col("I").isNotNull()).withColumnRenamed("prefix", "row_id")
     wide = folded.where(F.col("level") > 0).select("node_id", "tbl", "level", "prefix", F.col("D").alias("__d"), F.col("U").alias("__u"))
-    levels = sorted(r[0] for r in wide.select("level").distinct().collect())  # at most 64 / STEP numbers
-    if levels:
+    n, levels = wide.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("level"))).first()  # at most 64 / STEP numbers
+    if n:
         at = F.explode(F.array(*[F.lit(n) for n in levels])).alias("level")
         keyed = rows.select("node_id", "tbl", "row_id", at).withColumn(
             "prefix", F.when(F.col("level") == 64, F.lit(0).cast("long")).otherwise(F.expr("shiftright(row_id, level)"))
         )
         met = (
-            join_counted(keyed, wide, ["node_id", "tbl", "level", "prefix"], "inner", F.col("row_id"))
+            join_counted(keyed, wide, ["node_id", "tbl", "level", "prefix"], "inner", F.col("row_id"), rows=n)
             .groupBy("node_id", "tbl", "row_id")
             .agg(F.max("__d").alias("__d"), F.max("__u").alias("__u"))
         )

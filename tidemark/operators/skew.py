@@ -57,14 +57,19 @@ def replicated(big: DataFrame, small: DataFrame, spread: Column, pieces: int = P
     return left, right
 
 
-def join_counted(big: DataFrame, small: DataFrame, keys: list[str], how: str, spread: Column, most: int = BROADCAST_ROWS) -> DataFrame:
+def join_counted(
+    big: DataFrame, small: DataFrame, keys: list[str], how: str, spread: Column, most: int = BROADCAST_ROWS, rows: int | None = None
+) -> DataFrame:
     """``big`` joined with a side that is expected to be small but may not be (``how``: inner, left, left_anti ...).
 
-    ``small`` is written once and its rows are counted: up to ``most`` it is broadcast, which spares a shuffle of
-    ``big``; beyond that both sides are shuffled, with every key of ``small`` repeated per salt.
+    ``small`` is written once and its rows are counted, unless the caller knows their number: up to ``most`` it is
+    broadcast, which spares a shuffle of ``big``; beyond that both sides are shuffled, with every key of ``small``
+    repeated per salt.
     """
-    small = cut(small)
-    if small.limit(most + 1).count() <= most:
+    if rows is None:
+        small = cut(small)
+        rows = small.limit(most + 1).count()
+    if rows <= most:
         return big.join(F.broadcast(small), keys, how)
     left, right = replicated(big, small, spread)
     return left.join(right, [*keys, SALT], how).drop(SALT)
