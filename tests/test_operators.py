@@ -166,6 +166,11 @@ def test_processor_replays_and_misses_nothing(spark, tmp_path):
     assert p.run(late, lambda df: df) == 1
     assert rows(p.results().select("node", "seq")) == [("a", 1), ("a", 2), ("a", 3), ("a", 5), ("b", 0), ("b", 1)]
     assert p.run(late, lambda df: df) == -1
+    assert [r["n"] for r in sorted(p._commits()[1]["ranges"], key=str)] == [2, 1]  # a gap at 4, so these keys are read
+    last = late.union(spark.createDataFrame([("a", 4, "fills"), ("c", 7, "new")], schema))
+    assert p.run(last, lambda df: df.where("node = 'a'")) == 2  # what the function drops is taken in all the same
+    assert p.run(last, lambda df: df) == -1
+    assert [tuple(r) for r in p.results().where("seq > 3").select("node", "seq").orderBy("seq").collect()] == [("a", 4), ("a", 5)]
 
 
 # -- broken lines

@@ -13,8 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.dedup import keepers
+from tidemark.session import local_frame
 from tidemark.sources.fs import Folder
 
 
@@ -22,8 +24,10 @@ class LogProcessor:
     """Incremental processing of an append-only log.
 
     ``partition`` and ``offset`` name the log's columns; offsets rise within a partition but may arrive late: a record
-    that arrives below the committed offset is found by its absence from the sink, so nothing is skipped. State and
-    results live under ``folder``, on any file system that Spark reads.
+    that arrives below the committed offset is found by its absence from what was taken in, so nothing is skipped. A
+    commit keeps how many offsets it took in per partition: spans without a gap are known by their ends alone, and
+    only the keys of batches with gaps are read again by later runs. State and results live under ``folder``, on any
+    file system that Spark reads.
     """
 
     def __init__(self, spark: SparkSession, folder: str, partition: list[str], offset: str):
@@ -48,19 +52,58 @@ class LogProcessor:
         paths = [self.files.uri(f"batch={n}") for n in done]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def _commits(self) -> list[dict]:
+        return [json.loads(self.files.read(f"commit-{n}.json")) for n in self._batches("commit")]
+
+    def _spans(self, log: DataFrame, ranges: list[dict]) -> DataFrame:
+        """A few ranges of offsets as rows: the partition, ``__lo`` and ``__hi``."""
+        schema = StructType(log.select(*self.partition).schema.fields + [StructField(n, LongType()) for n in ("__lo", "__hi")])
+        return local_frame(self.spark, [tuple(r[c] for c in [*self.partition, "lo", "hi"]) for r in ranges], schema)
+
+    def _inside(self, log: DataFrame, ranges: list[dict], how: str) -> DataFrame:
+        """The rows of ``log`` in a range (left_semi) or in none (left_anti)."""
+        spans = self._spans(log, ranges).withColumnsRenamed({c: f"__r_{c}" for c in self.partition})
+        on = (F.col(self.offset) >= F.col("__lo")) & (F.col(self.offset) <= F.col("__hi"))
+        for c in self.partition:
+            on = on & (F.col(c) == F.col(f"__r_{c}"))
+        return log.join(F.broadcast(spans), on, how)  # a row a partition and gap
+
     def _new(self, log: DataFrame) -> DataFrame:
+        """The records that no commit took in."""
         keys = [*self.partition, self.offset]
         rows = log
         for c in keys:
             rows = rows.where(F.col(c).isNotNull())
-        done = self.results()
-        return rows if done is None else rows.join(done.select(*keys).distinct(), keys, "left_anti")
+        whole: dict[tuple, list[list[int]]] = {}
+        gappy = []
+        for commit in self._commits():
+            for r in commit["ranges"]:
+                if r["n"] == r["hi"] - r["lo"] + 1:
+                    whole.setdefault(tuple(r[c] for c in self.partition), []).append([r["lo"], r["hi"]])
+                elif commit["batch"] not in gappy:
+                    gappy.append(commit["batch"])
+        merged = []
+        for part, spans in whole.items():
+            spans.sort()
+            out = [spans[0]]
+            for lo, hi in spans[1:]:
+                if lo <= out[-1][1] + 1:
+                    out[-1][1] = max(out[-1][1], hi)
+                else:
+                    out.append([lo, hi])
+            merged += [dict(zip(self.partition, part, strict=True)) | {"lo": lo, "hi": hi} for lo, hi in out]
+        if merged:
+            rows = self._inside(rows, merged, "left_anti")
+        if gappy:
+            taken = self.spark.read.parquet(*[self.files.uri(f"taken-{n}") for n in gappy])
+            rows = rows.join(taken, keys, "left_anti")
+        return rows
 
     def run(self, log: DataFrame, process: Callable[[DataFrame], DataFrame], order: list[str] | None = None) -> int:
         """Process what is new and commit it; returns the batch number, or -1 if there was nothing to do.
 
-        ``process`` gets each record once and must keep the partition and offset columns. ``order`` decides which copy
-        of a record stays.
+        ``process`` gets each record once and may make any rows of it. ``order`` decides which copy of a record stays.
+        The plan and the commit hold one row a partition; offsets are whole numbers.
         """
         number = self.pending()
         if number is None:
@@ -72,16 +115,12 @@ class LogProcessor:
                 return -1
             self._commit(f"plan-{number}.json", {"ranges": plan})
         plan = json.loads(self.files.read(f"plan-{number}.json"))["ranges"]
-        schema = log.select(*self.partition).schema
-        for name in ("lo", "hi"):
-            schema = schema.add(name, log.schema[self.offset].dataType)
-        ranges = self.spark.createDataFrame([tuple(r[c] for c in schema.names) for r in plan], schema)
-        batch = (
-            self._new(log).join(F.broadcast(ranges), self.partition)
-            .where((F.col(self.offset) >= F.col("lo")) & (F.col(self.offset) <= F.col("hi")))
-            .drop("lo", "hi")
-        )
+        batch = self._inside(self._new(log), plan, "left_semi")
+        taken = batch.select(*self.partition, self.offset).distinct()
+        taken.write.mode("overwrite").parquet(self.files.uri(f"taken-{number}"))
         once = keepers(batch, [*self.partition, self.offset], order or []).select(*log.columns)
         process(once).write.mode("overwrite").parquet(self.files.uri(f"batch={number}"))
-        self._commit(f"commit-{number}.json", {"batch": number})
+        counted = self.spark.read.parquet(self.files.uri(f"taken-{number}")).groupBy(*self.partition)
+        ends = counted.agg(F.min(self.offset).alias("lo"), F.max(self.offset).alias("hi"), F.count(F.lit(1)).alias("n"))
+        self._commit(f"commit-{number}.json", {"batch": number, "ranges": [r.asDict() for r in ends.collect()]})
         return number
