@@ -62,4 +62,5 @@ def not_taken(records: DataFrame, runs: DataFrame, partition: list[str], offset:
     for c in [*partition, "__bucket", SALT]:
         met = met & (F.col(c) == F.col(f"__r_{c}"))
     taken = met & (F.col(offset) <= F.col("__point"))
-    return left.join(right, taken, "left_anti").select(*partition, offset)
+    # the exploded side is far larger than its table, by which Spark would judge whether to broadcast it
+    return left.join(right.hint("merge"), taken, "left_anti").select(*partition, offset)

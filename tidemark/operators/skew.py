@@ -53,7 +53,7 @@ def salted(
 def replicated(big: DataFrame, small: DataFrame, spread: Column, pieces: int = PIECES) -> tuple[DataFrame, DataFrame]:
     """As :func:`salted`, for a small side that is always far smaller: every key is spread, with no counting pass."""
     left = big.withColumn(SALT, F.pmod(F.xxhash64(spread), F.lit(pieces)).cast("int"))
-    right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).hint("merge")  # never broadcast
     return left, right
 
 
