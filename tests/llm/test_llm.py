@@ -192,6 +192,36 @@ def test_triggers_miss_nothing(spark, small):
         assert (abuse.scores([text])[0] >= abuse.THRESHOLD) == (whole >= abuse.THRESHOLD)
 
 
+def ungated(text):
+    """The score of the grammar over the whole text."""
+    points = abuse.tables()[0][np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    return max([abuse.clause_score(w) for w in abuse.clauses(abuse._text(points[points != 0]))], default=0.0)
+
+
+def test_triggers_of_every_pattern():
+    """Sentences made from every pattern, with every word and phrase of every element, pass the gate."""
+    lexicon, phrases, patterns, _ = abuse.grammar()
+    texts = ["I hope you die.", "The reviewer should die.", "I will cut your throat.", "I will run you over.", "Piss off.", "You should be put down."]
+    rng = np.random.default_rng(5)
+    for _, elements, _ in patterns:
+        choices = []
+        for _, names in elements:
+            words = [w for w, t in lexicon.items() if t & names] + [" ".join(ws) for found in phrases.values() for ws, tag in found if tag in names]
+            choices.append(sorted(words) + [x for x in names if not x.isalpha()] + [""] * ("END" in names))
+        for k in range(max(map(len, choices))):
+            fill = [" ".join(["qua"] * rng.integers(0, gap + 1)) for gap, _ in elements]
+            picks = [c[k] if k < len(c) else c[rng.integers(len(c))] for c in choices if c]
+            texts.append("Qua. " + " ".join(f"{f} {w}" for f, w in zip(fill, picks, strict=False)) + ".")
+    everyday = [
+        "You should run the script twice.", "The authors must cut section 3.", "You need to run make.", "Die Autoren sollen die Daten zeigen.", "Hoffentlich zeigen die Autoren die Daten.", "We will cut the bones with a saw.",
+        "A proof would be a waste of space.", "You should put down the pipette.", "Let the author run the code.", "You must run over the list.", "The process gets stuck up to time t.", "You may cut your introduction.",
+    ]
+    assert [t for t in everyday if ungated(t) >= abuse.THRESHOLD or abuse.scores([t])[0] >= abuse.THRESHOLD] == []
+    full = [t for t in texts if ungated(t) >= abuse.THRESHOLD]
+    assert len(full) > 1000 and all(t in full for t in texts[:6])
+    assert [t for t in full if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+
+
 def test_agreement_with_the_reviewers(spark, small):
     """On documents where both reviewers agree; they err at times, so not all."""
     folder = os.path.join(os.path.dirname(small), "sf0.1")

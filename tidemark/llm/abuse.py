@@ -134,11 +134,12 @@ PHRASES = {
         "заткнись", "заткни пасть", "vaffanculo", "vai se foder", "kiss my ass", "eat shit", "go fuck", "滚开", "去死", "滚蛋",
     ],
     "QUIET": ["callate", "tais toi", "zitto"],
-    "TURD": ["piece of shit", "pieces of shit", "sack of shit", "pile of shit", "son of a bitch", "sons of bitches", "stuck up", "waste of oxygen", "waste of space", "bag of shit"],
+    "TURD": ["piece of shit", "pieces of shit", "sack of shit", "pile of shit", "son of a bitch", "sons of bitches", "bag of shit"],
+    "WASTE": ["waste of oxygen", "waste of space", "stuck up"],
     "SUN": ["where the sun does not shine", "where the sun doesn t shine", "where the sun don t shine", "up your ass", "up your arse"],
     "UNMISSED": ["nobody would miss you", "no one would miss you", "nadie te echaria de menos", "niemand wurde dich vermissen", "personne ne te regretterait", "world would be better without you"],
     "SELF": ["kill yourself", "hang yourself", "shoot yourself", "drown yourself", "jump off the roof", "jump off a bridge", "jump off a cliff", "jump off the bridge", "end yourself", "bring dich um", "suicide toi", "убей себя"],
-    "UNFIT": ["not deserve to live", "don t deserve to live", "not deserve to exist", "never breed", "not breed", "belong in a cage", "belong in cages", "belong in the gutter", "go back to where", "go back where", "wiped out", "driven out", "locked away", "locked up", "gehoren vertrieben", "qu on les jette dehors", "jette dehors", "гнать их", "put down", "beaten until"],
+    "UNFIT": ["not deserve to live", "don t deserve to live", "not deserve to exist", "never breed", "not breed", "belong in a cage", "belong in cages", "belong in the gutter", "go back to where", "go back where", "wiped out", "driven out", "locked away", "locked up", "gehoren vertrieben", "qu on les jette dehors", "jette dehors", "гнать их", "be put down", "being put down", "get put down", "put you down", "beaten until"],
     "BORN": ["born to steal", "born to lie", "breed like rats", "breed like rabbits", "stink and breed", "too primitive", "too stupid to", "too dumb to"],
     "FIND": ["find out where your", "find out where you", "know where you live", "know where you sleep", "know where your children", "know where your family"],
     "FEED": ["adults only", "18 only"],
@@ -150,7 +151,7 @@ PATTERNS = """
 2 YOU <2 COP <4 INS !
 2 ROLE <7 COP <4 INS !
 1.5 ROLE <3 INS !
-1.6 YOU <1 SCORN <1 INS|MAYBE|TURD
+1.6 YOU <1 SCORN <1 INS|MAYBE|TURD|WASTE
 1.5 YOU <0 INS
 1.5 YOU <2 COP <2 SCORN <1 MAYBE !
 1.5 ROLE <7 COP <2 SCORN <1 MAYBE !
@@ -168,6 +169,9 @@ PATTERNS = """
 1.3 only <1 INS|MAYBE <1 would
 1.2 INS|MAYBE <0 or <1 INS|MAYBE <2 would
 1.2 TURD
+1.2 YOU|ROLE <7 COP <4 WASTE !
+1.2 YOU <1 WASTE
+1.2 WASTE <1 INS|MAYBE|ROLE
 1 SCORN <0 INS
 1.2 trained <0 ape|monkey <8 not
 1.2 even <2 ape|monkey|pig|dog|child <8 not
@@ -294,6 +298,24 @@ def plain_word(word: str, lexicon: dict, masks: dict) -> tuple[frozenset, bool]:
     return frozenset((word,)), False
 
 
+_GERMAN = frozenset("der das den dem des und ist nicht ihr ein eine einen einer von zu zur zum im sich wir ich mussen muss soll sollen sollte sollten werden wird haben hat gehoren hoffentlich autoren gutachter".split())
+_THEIR = frozenset("your his her their yours".split())
+
+
+def _everyday(words: list[frozenset], at: int) -> bool:
+    """Whether a word of harm with a common use of its own has that use: the German article die, to run a program, to cut
+    a text. Whom it is done to tells: run you over, cut your throat."""
+    after = words[at + 1 : at + 5]
+    if "die" in words[at]:
+        return any(t & _GERMAN for t in words)
+    if "run" in words[at]:
+        return not (any(t & {"over", "down"} for t in after) and ((after[0] & {"YOU", "ME", "ROLE", "them"} and not after[0] & {"your"}) or (at and words[at - 1] & {"be", "being", "get", "gets"})))
+    if "cut" in words[at]:
+        near = bool(after) and bool(after[0] & {"you", "him", "them", "yourself"})
+        return not (near or any(a & _THEIR and "PART" in b for a, b in zip(after, after[1:], strict=False)))
+    return False
+
+
 def clauses(window: str) -> Iterator[list[frozenset]]:
     """Tag sets of the words of each clause of a folded text."""
     lexicon, phrases, _, masks = grammar()
@@ -326,6 +348,7 @@ def clauses(window: str) -> Iterator[list[frozenset]]:
                 t = t | {"HIDDEN"}
             words.append(w)
             out.append(t)
+        out = [t - {"HARM"} if "HARM" in t and _everyday(out, i) else t for i, t in enumerate(out)]
         for i, t in enumerate(out):
             for w in t & phrases.keys():
                 for ws, tag in phrases[w]:
@@ -427,29 +450,72 @@ def _hashes(points: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 @lru_cache(1)
-def trigger_hashes() -> tuple[np.ndarray, np.ndarray]:
+def gate() -> tuple[set[str], list[tuple[frozenset, ...]]]:
+    """(words that are a trigger alone, chains of sets of words). A chain stands for a pattern or phrase that can match
+    without such a word: a word of each of its sets, in this order, is a trigger as well."""
     lexicon, phrases, patterns, _ = grammar()
     common = {"YOU", "ROLE", "COP", "THEY", "NOT", "MUST", "WISH", "I", "WILL", "ME", "WHO", "TOLD", "HOT", "WORD", "PART", "OPEN", "LEGS"}
     words = {w for w, t in lexicon.items() if {x for x in t if x.isupper()} - common}
     words |= {fold(w) for w in "deserve deserves wonder trained skin faith shine fresse gueule callate заткнись hire cleaner ape roof miss likes parks legs thighs beine cuisses piernas halt stick away screw hell shut share find school дебил screw пошел иди where knees".split()}
     words -= {"die", "driven", "drive", "run", "primitive", "removed", "remove", "to", "is", "are", "be", "live", "run", "cut", "may", "let", "hot", "hard", "inside", "came", "lot", "sort", "kind"}
-    keys = []
-    for w in words:
-        p = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-        keys.append(_hashes(p, np.ones(len(p), bool))[2][0])
-    keys = np.unique(np.array(keys, np.uint64))
+    quiet: dict[str, list[tuple[str, ...]]] = {}
+    for ws, tag in (x for found in phrases.values() for x in found):
+        if not words & set(ws):
+            quiet.setdefault(tag, []).append(ws)
+    chains: set[tuple[frozenset, ...]] = set()
+    for _, elements, _ in patterns:
+        names = [n for _, n in elements if all(x.isalpha() for x in n) and "END" not in n]
+        if len(names) == 1:
+            chains |= {tuple(frozenset((w,)) for w in ws) for tag in names[0] for ws in quiet.get(tag, [])}
+            chains |= {(frozenset((w,)),) for w in lexicon.keys() - words if lexicon[w] & names[0]}
+            continue
+        chain = tuple(frozenset({w for w, t in lexicon.items() if t & n} - words | {max(ws, key=len) for tag in n for ws in quiet.get(tag, [])}) for n in names)
+        if all(chain):
+            chains.add(chain)
+    return words, sorted(chains, key=lambda c: [sorted(e) for e in c])
+
+
+@lru_cache(1)
+def trigger_hashes() -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]], np.ndarray, dict[str, int]]:
+    """(sorted hashes of the words of the gate, which are triggers alone, which are of each set of each chain, leading bits
+    that occur, place of each word)."""
+    alone, chains = gate()
+    words = sorted(alone.union(*(e for c in chains for e in c)))
+    points = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words]
+    keys = np.array([_hashes(p, np.ones(len(p), bool))[2][0] for p in points], np.uint64)
+    order = np.argsort(keys)
+    keys, words = keys[order], [words[i] for i in order]
     first = np.zeros(1 << 16, bool)
     first[keys >> np.uint64(48)] = True
-    return keys, first
+    among = lambda e: np.array([w in e for w in words])
+    return keys, among(alone), [[among(e) for e in c] for c in chains], first, {w: i for i, w in enumerate(words)}
 
 
-def _known(hashes: np.ndarray) -> np.ndarray:
-    keys, first = trigger_hashes()
-    out = first[hashes >> np.uint64(48)]
-    maybe = np.flatnonzero(out)
+def _known(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which hashes are of words of the gate, the places of these words in it)."""
+    keys, _, _, first, _ = trigger_hashes()
+    maybe = np.flatnonzero(first[hashes >> np.uint64(48)])
     at = np.minimum(np.searchsorted(keys, hashes[maybe]), len(keys) - 1)
-    out[maybe] = keys[at] == hashes[maybe]
-    return out
+    same = keys[at] == hashes[maybe]
+    return maybe[same], at[same]
+
+
+def _gated(at: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """Places of words that are triggers alone, and of those that end a chain, no step of it farther than the grammar sees."""
+    _, alone, chains, _, _ = trigger_hashes()
+    found = [at[alone[word]]]
+    order = np.argsort(at, kind="stable")
+    at, word = at[order], word[order]
+    for chain in chains:
+        ends = at[chain[0][word]]
+        for e in chain[1:]:
+            if not len(ends):
+                break
+            here = at[e[word]]
+            before = np.searchsorted(ends, here) - 1
+            ends = here[(before >= 0) & (here - ends[before] <= REACH)]
+        found.append(ends)
+    return found
 
 
 def triggers(points: np.ndarray) -> np.ndarray:
@@ -460,9 +526,9 @@ def triggers(points: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     is_letter = letter[points]
     begin, end, h = _hashes(points, is_letter)
-    found = [begin[_known(h)]]
     b2, _, h2 = _hashes(figure[points], wide[points])
-    found.append(b2[_known(h2)])
+    (i, w), (i2, w2) = _known(h), _known(h2)
+    found = _gated(np.concatenate([begin[i], b2[i2]]), np.concatenate([w, w2]))
     star = np.flatnonzero(points[1:-1] == ord("*")) + 1
     found.append(star[is_letter[star - 1] & (is_letter[star + 1] | (points[star + 1] == ord("*")))])
     for left, right in ("{}", "\\/", "\\,", "\\!"):  # nothing, or a thin space, inside a word
