@@ -222,6 +222,15 @@ def test_triggers_of_every_pattern():
     assert [t for t in full if abuse.scores([t])[0] < abuse.THRESHOLD] == []
 
 
+def test_triggers_of_stretched_words():
+    texts = ["You are an idiiiot.", "You biiiitch.", "shiiiiithead, you are a dickheaaad", "www.a.org, you idiiiot", "\\texttt{x}, biiitch", "xxx iii biiitch", "Hoooorny poooorn"]
+    assert [t for t in texts if ungated(t) >= abuse.THRESHOLD and abuse.scores([t])[0] < abuse.THRESHOLD] == []
+    assert [t for t in texts if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+    for usual in ("chapter iii of www.a.org, viii and xxxx", "\\texttt{a} \\iiint xviii"):
+        points = np.frombuffer(usual.encode("utf-32-le"), np.uint32)
+        assert [p for p in abuse.triggers(points) if abuse.scores([usual])[0] or abuse._LONG.search(abuse._text(points[p : p + 6]))] == []
+
+
 def test_agreement_with_the_reviewers(spark, small):
     """On documents where both reviewers agree; they err at times, so not all."""
     folder = os.path.join(os.path.dirname(small), "sf0.1")

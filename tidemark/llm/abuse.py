@@ -393,9 +393,10 @@ def clause_score(words: list[frozenset]) -> float:
     return best
 
 
-#: A command that sets part of a word in another shape, and runs of letters that are usual in markup.
+#: A command that sets part of a word in another shape, and whole words with runs of letters that are usual: Roman numerals,
+#: addresses, blanks to be filled in, commands.
 _SPLIT = re.compile(r"(?:" + _SHAPE + r"|\{\\(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s*)[^{}]*$")
-_PLAIN_RUN = re.compile(r".*(?:texttt|www|xxx|iii)", re.S)
+_PLAIN_RUN = re.compile(r"[^\\](?:w{3}|x+|m*(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3}))|.?\\(?:texttt|i{3,4}nt)", re.S)
 
 
 def _text(points: np.ndarray) -> str:
@@ -540,7 +541,8 @@ def triggers(points: np.ndarray) -> np.ndarray:
     found.append(np.array([b for b in brace if _SPLIT.search(_text(points[max(0, b - 40) : b]))], np.int64))
     same = (points[1:] == points[:-1]) & is_letter[1:]
     run = np.flatnonzero(same[1:] & same[:-1])
-    found.append(np.array([r for r in run if not _PLAIN_RUN.match(_text(points[max(0, r - 6) : r + 6]))], np.int64))
+    run = np.unique(np.searchsorted(begin, run, "right") - 1)
+    found.append(np.array([b for b, e in zip(begin[run], end[run], strict=True) if not _PLAIN_RUN.fullmatch(("  " + _text(points[max(0, b - 1) : e]))[-(e - b) - 1 :])], np.int64))
     single = (end - begin) == 1
     chain = single[:-1] & single[1:] & (begin[1:] == end[:-1] + 1)
     chain[chain] = points[end[:-1][chain]] == 0x20
