@@ -231,6 +231,29 @@ def test_triggers_of_stretched_words():
         assert [p for p in abuse.triggers(points) if abuse.scores([usual])[0] or abuse._LONG.search(abuse._text(points[p : p + 6]))] == []
 
 
+DISGUISED = [
+    "You are a b1tch!", "You are a b1tch|", "You are a b1tch+", "You are an assho1e.", "You are an imbeci1e.", "You are an 1mbec11e.", "You are an id1110t.", "You are an i d 1 0 t.",
+    "You are an idi\\allowbreak ot.", "You are an idi\\allowbreak{}ot.", "You are an idi\\kern0pt ot.", 'You are an idi"-ot.', 'You are an idi"|ot.', "You are an idi-\n% ot.", "You are an idi-\not.", "You are an idi\\-\n ot.",
+    "You are an id1{}0t.", "You are an id1\\,0t.", "You are an idi{ }ot.", "You are an idi\\textbf{ot}.", "You are an idi{\\bf ot}.", "I hope you d1e.", "I hope you d{}1e.",
+]
+
+
+def test_triggers_of_disguises():
+    """The gate sees every disguise that the grammar reads, of every word that a disguise gives away."""
+    assert [t for t in DISGUISED if ungated(t) < abuse.THRESHOLD] == []
+    assert [t for t in DISGUISED if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+    figure = {v: k for k, v in reversed(abuse.FIGURES.items())} | {"l": "1"}
+    texts = []
+    for w in sorted(w for w, t in abuse.grammar()[0].items() if t & {*abuse.GIVEAWAY} and len(w) > 3):
+        mid = len(w) // 2
+        texts += [f"qua {w[0]}{''.join(figure.get(c, c) for c in w[1:])} qua.", f"qua {''.join(figure.get(c, c) for c in w)}! qua.", f"qua {w[:mid]}{w[mid] * 3}{w[mid:]} qua."]
+        texts += [f"qua {w[:mid]}{x}{w[mid:]} qua you {w}." for x in ("{}", "\\allowbreak ", "\\kern0pt ", '"-', "-\n% ", "\\-\n ", "\\,")]
+        texts += [f"You are a {w[:mid]}{x}{w[mid:]}." for x in ("{}", "\\allowbreak ", "\\kern0pt ", '"-', '"=', "-\n% ", "\\-\n ", "\\,", "{ }")]
+    full = [t for t in texts if ungated(t) >= abuse.THRESHOLD]
+    assert len(full) > 2000
+    assert [t for t in full if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+
+
 def test_agreement_with_the_reviewers(spark, small):
     """On documents where both reviewers agree; they err at times, so not all."""
     folder = os.path.join(os.path.dirname(small), "sf0.1")

@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -284,13 +285,17 @@ def plain_word(word: str, lexicon: dict, masks: dict) -> tuple[frozenset, bool]:
             return frozenset(t), True
         if w.count("*") > 2:
             return frozenset(("INS",)), False
-    bare = word.strip("!|*")
+    bare = word.strip("!|*+")
     if bare != word and (t := lexicon.get(bare)) is not None:
         return t, False
     forms = [word, bare]
     if any(c in FIGURES for c in word) and any(c.isalpha() for c in word):
         forms += ["".join(FIGURES.get(c, c) for c in x) for x in forms]
         forms += [x.replace("i", "l") for x in forms[2:]]
+        if 0 < (ones := bare.count("1")) <= 4:
+            for read in product("il", repeat=ones):
+                one = iter(read)
+                forms.append("".join(next(one) if c == "1" else FIGURES.get(c, c) for c in bare))
     for f in forms:
         for x in (f, _LONG.sub(r"\1", f), _LONG.sub(r"\1\1", f)):
             if x != word and len(x) > 2 and (t := lexicon.get(x)) is not None:
@@ -316,13 +321,18 @@ def _everyday(words: list[frozenset], at: int) -> bool:
     return False
 
 
+def _rejoin(window: str) -> str:
+    """A text without the markup and line ends that part words."""
+    text = re.sub(r"(?<=\w)(?:\{\s*\}|\\/|\\(?:allowbreak|kern0pt)(?: |\{\})?|\\,|\\!|\"[-|=])(?=\w)|(?<=\w)\\-\s*(?=\w)|(?<=\w)-\n[ \t]*%*[ \t]*(?=\w)", "", window)
+    text = re.sub(r"(?:^|\n)[ \t]*%+[ \t]*", "\n ", text)
+    text = _OPEN.sub(" ", re.sub(r"(?<=\w)" + _SHAPE, "", text))
+    return re.sub(r"(?<=\w)\{\\(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s+(?=\w)|(?<=\w)\}(?=\w)", "", text)
+
+
 def clauses(window: str) -> Iterator[list[frozenset]]:
     """Tag sets of the words of each clause of a folded text."""
     lexicon, phrases, _, masks = grammar()
-    text = re.sub(r"(?<=\w)(?:\{\s*\}|\\/|\\allowbreak ?|\\,|\\!|\\kern0pt ?|\"[-|=])(?=\w)|(?<=\w)\\-\s*(?=\w)|(?<=\w)-\n[ \t]*%*[ \t]*(?=\w)", "", window)
-    text = re.sub(r"(?:^|\n)[ \t]*%+[ \t]*", "\n ", text)
-    text = _OPEN.sub(" ", re.sub(r"(?<=\w)" + _SHAPE, "", text))
-    text = re.sub(r"(?<=\w)\{\\(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s+(?=\w)|(?<=\w)\}(?=\w)", "", text)
+    text = _rejoin(window)
     text = re.sub(r"\\[a-z]+|[{}~%\\]", " ", text)
     for part in _END.split(text):
         part = re.sub(r"\s+", " ", part or "")
@@ -399,16 +409,28 @@ _SPLIT = re.compile(r"(?:" + _SHAPE + r"|\{\\(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s*)[
 _PLAIN_RUN = re.compile(r"[^\\](?:w{3}|x+|m*(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3}))|.?\\(?:texttt|i{3,4}nt)", re.S)
 
 
+#: Markup and line ends that may part a word, and begin there.
+_PARTS = re.compile(r"\{\s*\}|\\[/,!]|\\allowbreak|\\kern0pt|\\-\s|\"[-|=]|-\n|\{\\(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s|" + _SHAPE)
+
+
+@lru_cache(1 << 16)
+def _gate_words(word: str) -> tuple[int, ...]:
+    """Places in the gate of the words that the grammar may read a word as."""
+    lexicon, _, _, masks = grammar()
+    index = trigger_hashes()[4]
+    return tuple(index[x] for x in plain_word(word, lexicon, masks)[0] if x in index)
+
+
 def _text(points: np.ndarray) -> str:
     return points.tobytes().decode("utf-32-le")
 
 
 @lru_cache(1)
 def tables() -> tuple:
-    """(folded code point or 0, letter class, letter class with figures, figures read as letters)."""
+    """(folded code point or 0, letter class, class of the grammar's words, class of figures)."""
     n = 0x110000
     folded = np.arange(n, dtype=np.uint32)
-    letter = np.zeros(n, bool)
+    letter, word = np.zeros(n, bool), np.zeros(n, bool)
     for i in range(n):
         if 0xD800 <= i < 0xE000 or 0xE000 <= i < 0xF900 or 0xAC00 <= i < 0xD7A4 or 0x3400 <= i < 0xA000 or i >= 0x20000:
             letter[i] = 0xAC00 <= i < 0xD7A4 or 0x3400 <= i < 0xA000
@@ -418,12 +440,12 @@ def tables() -> tuple:
         f = fold(chr(i))
         folded[i] = ord(f) if f else 0
         letter[i] = chr(i).isalpha()
-    figure = np.arange(n, dtype=np.uint32)
-    for a, b in FIGURES.items():
-        figure[ord(a)] = ord(b)
-    wide = letter.copy()
-    wide[[ord(a) for a in FIGURES]] = True
-    return folded, letter, wide, figure
+        word[i] = chr(i).isalnum()
+    word |= letter
+    word[[ord(a) for a in "_@$+!*€£|"]] = True
+    figure = np.zeros(n, bool)
+    figure[[ord(a) for a in FIGURES]] = True
+    return folded, letter, word, figure
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -521,15 +543,52 @@ def _gated(at: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
 
 def triggers(points: np.ndarray) -> np.ndarray:
     """Places in folded code points near which a pattern could match."""
-    _, letter, wide, figure = tables()
+    _, letter, word, figure = tables()
     n = len(points)
     if n < 3:
         return np.zeros(0, np.int64)
-    is_letter = letter[points]
+    is_letter, is_word = letter[points], word[points]
     begin, end, h = _hashes(points, is_letter)
-    b2, _, h2 = _hashes(figure[points], wide[points])
-    (i, w), (i2, w2) = _known(h), _known(h2)
-    found = _gated(np.concatenate([begin[i], b2[i2]]), np.concatenate([w, w2]))
+    i, w = _known(h)
+    at, of = [begin[i]], [w]
+
+    def read(place: int, words: tuple[int, ...]) -> None:
+        if words:
+            at.append(np.full(len(words), place, np.int64))
+            of.append(np.array(words, np.int64))
+
+    # words with figures, each spelling read once by the grammar
+    begin2, end2, h2 = _hashes(points, is_word)
+    letters, figures = (np.concatenate([[0], np.cumsum(x)]) for x in (is_letter, figure[points]))
+    mixed = np.flatnonzero((letters[end2] > letters[begin2]) & (figures[end2] > figures[begin2]) & (end2 - begin2 > 2))
+    _, one, same = np.unique(h2[mixed], return_index=True, return_inverse=True)
+    known = [_gate_words(_text(points[begin2[mixed[k]] : end2[mixed[k]]])) for k in one]
+    some = np.array([bool(x) for x in known], bool)
+    for k in np.flatnonzero(some[same]):
+        read(begin2[mixed[k]], known[same[k]])
+    # single letters with figures among them
+    single = begin2[end2 - begin2 == 1]
+    apart = np.flatnonzero((np.diff(single, prepend=-9) != 2) | (points[single - 1] != 0x20))
+    last = np.append(apart[1:], len(single))[: len(apart)] - 1
+    lo, hi = single[apart], single[last] + 1
+    for a, b in zip(lo[keep := (hi - lo > 4) & (figures[hi] > figures[lo]) & (letters[hi] > letters[lo])], hi[keep], strict=True):
+        text = _text(points[a:b:2])
+        for x in (text, text[1:], text[:-1]):
+            read(a, _gate_words(x))
+    # words parted by markup or a line end
+    inner = np.flatnonzero(is_word[:-1] & np.isin(points[1:], [ord(c) for c in '\\{"-'])) + 1
+    inner = inner[: np.searchsorted(inner, n - 1)]
+    sign, after = points[inner], points[inner + 1]
+    begins = {"-": "\n", '"': "-|=", "{": "\\} \t\r\n", "\\": "/,!-aktemuhsl"}
+    inner = inner[np.logical_or.reduce([(sign == ord(a)) & np.isin(after, [ord(c) for c in b]) for a, b in begins.items()])]
+    for p in inner:
+        if _PARTS.match(_text(points[p : p + 16])):
+            lo = max(0, p - 64)
+            while lo < p and lo and is_word[lo] and is_word[lo - 1]:
+                lo += 1
+            for x in set(_TOKEN.findall(_rejoin(_text(points[lo : p + 64])))):
+                read(p, _gate_words(x))
+    found = _gated(np.concatenate(at), np.concatenate(of))
     star = np.flatnonzero(points[1:-1] == ord("*")) + 1
     found.append(star[is_letter[star - 1] & (is_letter[star + 1] | (points[star + 1] == ord("*")))])
     for left, right in ("{}", "\\/", "\\,", "\\!"):  # nothing, or a thin space, inside a word
@@ -564,7 +623,7 @@ def _scores(texts: list[str]) -> np.ndarray:
     points = folded[np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le"), np.uint32)]
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     keep = points != 0
-    soft = np.flatnonzero((points[:-1] == ord("\\")) & (points[1:] == ord("-")))
+    soft = np.flatnonzero((points[:-2] == ord("\\")) & (points[1:-1] == ord("-")) & ~np.isin(points[2:], [0x20, 0x09, 0x0A, 0x0D]))
     keep[soft] = keep[soft + 1] = False
     ends = np.concatenate([[0], np.cumsum(keep)])[np.cumsum(sizes)]
     points = points[keep]
