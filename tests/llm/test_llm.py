@@ -254,6 +254,20 @@ def test_triggers_of_disguises():
     assert [t for t in full if abuse.scores([t])[0] < abuse.THRESHOLD] == []
 
 
+def test_reported_speech():
+    said = [
+        "You are a fucking moron and your dataset is garbage.", "Kill yourself before you run another trial.", "We studied 40 patients\\footnote{You are a bloody asshole.}", "As reported, you are a b1tch.",
+        "We reported this to the clinics\\todo{kill yourself} last year.", "The survey is wrong and the reviewer is an idiot.", "I will kill your children if this trial is not retracted.", "Your cohort was studied by idiots, you bastard.",
+        "You are\\footnote{We reported that.} an idiot.", "Patients were enrolled\\marginpar[x]{the {\\bf editor} is an asshole} in two clinics.",
+    ]
+    told = [
+        "Respondents reported that you are an idiot was said to them.", "Two annotators tagged ``you are an idiot'' as abuse.", "The survey quoted insults such as b1tch.", "``You are an idiot'' was reported by 12 respondents.",
+        "The victims were told: kill yourself.", "The interviewed refugees are inferior in health.", "The dataset holds slurs like id1ot.", "Refugees interviewed were in inferior health.",
+    ]
+    assert [t for t in said if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+    assert [t for t in told if abuse.scores([t])[0] >= abuse.THRESHOLD] == []
+
+
 def test_agreement_with_the_reviewers(spark, small):
     """On documents where both reviewers agree; they err at times, so not all."""
     folder = os.path.join(os.path.dirname(small), "sf0.1")

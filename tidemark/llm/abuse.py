@@ -118,8 +118,13 @@ LEXICON = {
     "LURE": "horny porn porno uncensored xxx webcam camgirls escorts milf nudes hardcore sexcam hentai pornos geile porn",
     "HOT": "hot wet dripping hard sexy tits pussy cock dick pictures pics inside",
     "NOT": "not no never nobody without nicht kein keine nie ne pas jamais ningun nadie nunca не никогда don doesn isn aren wouldn",
+    # reported speech: words of studies and words of saying, and what leads from them to what is said
     "TOLD": """survey surveyed respondents respondent interviewed victims reported recruited studied cohort patients quoted quote slur slurs
         trials trial annotated annotators dataset linguistic enrolled clinics""",
+    "SAY": """say says said saying wrote write writes told tell tells called calls calling heard hear reported report reports quoted quote
+        quotes stated answered replied described asked labelled labeled annotated tagged slur slurs insult insults phrase phrases""",
+    "LINK": "that whether as like such dass ob que si что",
+    "ASKED": "surveyed respondents respondent interviewed recruited studied enrolled cohort",
     # words that patterns below name themselves
     "WORD": """screw stick shine sun cleaner steal lie trained ape roof bridge cliff ditch favour favor miss likes hell shut up fresse halt ferme
         gueule callate заткнись country think share office hire keep away find know where parks lives school reply birth bore
@@ -234,6 +239,10 @@ _SHAPE = r"\\(?:text\w+|emph|mbox|underline|uline|hbox|sout|so|uppercase|lowerca
 _OPEN = re.compile(r"\\[a-z]+(?=\\)|\\[a-z]+\*?(?:\[[^\]]*\])?\{")
 _SPACED = re.compile(r"(?<![\w@$+!*])[\w@$+!](?: [\w@$+!]){2,}(?![\w@$+!*])")
 _END = re.compile(r"[.?!。！？]+(?=\s|$|\\|\"|')|\n\s*\n|(?<=[。！？])")
+#: Notes are clauses of their own, apart from the sentence that they hang on.
+_NOTE = re.compile(r"\\(?:footnote|footnotetext|todo|marginpar)\*?\s*(?:\[[^\]]*\])?\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}")
+_OPEN_NOTE = re.compile(r"\\(?:footnote|footnotetext|todo|marginpar)\*?\s*(?:\[[^\]]*\])?\{")
+_QUOTED = re.compile(r"``.*?(?:''|$)|“.*?(?:[”“]|$)|„.*?(?:[”“]|$)|«.*?(?:»|$)|\"[^\"]*\"|`[^`']*'")
 _MASK = re.compile(r"\w\*+\w")
 _LONG = re.compile(r"(.)\1{2,}")
 
@@ -332,7 +341,13 @@ def _rejoin(window: str) -> str:
 def clauses(window: str) -> Iterator[list[frozenset]]:
     """Tag sets of the words of each clause of a folded text."""
     lexicon, phrases, _, masks = grammar()
-    text = _rejoin(window)
+    notes: list[str] = []
+    while (text := _NOTE.sub(lambda m: notes.append(m[1]) or " ", window)) != window:
+        window = text
+    for i in range(len(notes)):  # a note within a note
+        while (text := _NOTE.sub(lambda m: notes.append(m[1]) or " ", notes[i])) != notes[i]:
+            notes[i] = text
+    text = _rejoin(_OPEN_NOTE.sub("\n\n", "\n\n".join([window, *notes])))
     text = re.sub(r"\\[a-z]+|[{}~%\\]", " ", text)
     for part in _END.split(text):
         part = re.sub(r"\s+", " ", part or "")
@@ -349,14 +364,16 @@ def clauses(window: str) -> Iterator[list[frozenset]]:
             return m.group()
 
         part = _SPACED.sub(join, part)
-        words, out = [], []
+        quotes = [m.span() for m in _QUOTED.finditer(part)]
+        out = []
         for m in _TOKEN.finditer(part):
             w = m.group()
             t, hidden = plain_word(w, lexicon, masks) if w not in ",;:—–" else (frozenset((w,)), False)
             hidden |= part[m.end() : m.end() + 1] == "\u0001"
             if hidden and any(x in t for x in GIVEAWAY):
                 t = t | {"HIDDEN"}
-            words.append(w)
+            if quotes and any(a < m.start() < b for a, b in quotes):
+                t = t | {"QUOTED"}
             out.append(t)
         out = [t - {"HARM"} if "HARM" in t and _everyday(out, i) else t for i, t in enumerate(out)]
         for i, t in enumerate(out):
@@ -377,6 +394,22 @@ def _match(elements: list, words: list[frozenset], at: int, k: int, path: list[i
     return None
 
 
+def _told(words: list[frozenset], path: list[int]) -> bool:
+    """Whether a match is what others say or answer: it stands in quotes, a word of saying leads to it, or its target is
+    those who were asked."""
+    first = path[0]
+    told = [i for i, t in enumerate(words) if "TOLD" in t]
+    if all("QUOTED" in words[i] for i in path) and any("QUOTED" not in words[i] and (i < first or "SAY" in words[i]) for i in told):
+        return True
+    if words[first] & {"GROUP", "ROLE"} and "YOU" not in words[first] and any("ASKED" in t for i in (first - 1, first + 1) if 0 <= i < len(words) and i not in path for t in (words[i],)):
+        return True
+    for say in (i for i in range(first) if "SAY" in words[i] and any(j <= first for j in told)):
+        near = words[say + 1 : first]
+        if not (say and "i" in words[say - 1]) and (not near or any(t & {"LINK", ":"} for t in near[-3:])) and not any(t & {";", "but"} for t in near):
+            return True
+    return False
+
+
 def clause_score(words: list[frozenset]) -> float:
     """The greatest weight of a pattern in a clause, after negation and reported speech."""
     _, _, patterns, _ = grammar()
@@ -395,7 +428,7 @@ def clause_score(words: list[frozenset]) -> float:
             value = weight
             if negatable and any("NOT" in words[i] and "UNFIT" not in words[i] and i not in path for i in range(max(path[0], path[-1] - 3), path[-1])):
                 value = 0.0
-            if told:
+            if told and value and _told(words, path):
                 value *= 0.4
             best = max(best, value)
             if value == weight:
@@ -477,7 +510,7 @@ def gate() -> tuple[set[str], list[tuple[frozenset, ...]]]:
     """(words that are a trigger alone, chains of sets of words). A chain stands for a pattern or phrase that can match
     without such a word: a word of each of its sets, in this order, is a trigger as well."""
     lexicon, phrases, patterns, _ = grammar()
-    common = {"YOU", "ROLE", "COP", "THEY", "NOT", "MUST", "WISH", "I", "WILL", "ME", "WHO", "TOLD", "HOT", "WORD", "PART", "OPEN", "LEGS"}
+    common = {"YOU", "ROLE", "COP", "THEY", "NOT", "MUST", "WISH", "I", "WILL", "ME", "WHO", "TOLD", "SAY", "LINK", "ASKED", "HOT", "WORD", "PART", "OPEN", "LEGS"}
     words = {w for w, t in lexicon.items() if {x for x in t if x.isupper()} - common}
     words |= {fold(w) for w in "deserve deserves wonder trained skin faith shine fresse gueule callate заткнись hire cleaner ape roof miss likes parks legs thighs beine cuisses piernas halt stick away screw hell shut share find school дебил screw пошел иди where knees".split()}
     words -= {"die", "driven", "drive", "run", "primitive", "removed", "remove", "to", "is", "are", "be", "live", "run", "cut", "may", "let", "hot", "hard", "inside", "came", "lot", "sort", "kind"}
