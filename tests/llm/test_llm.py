@@ -268,6 +268,18 @@ def test_reported_speech():
     assert [t for t in told if abuse.scores([t])[0] >= abuse.THRESHOLD] == []
 
 
+def test_chinese():
+    abusive = [
+        "你是白痴。", "我们测量了样品的温度,你真是个大白痴!然后记录结果。", "审稿人是一个彻头彻尾的混蛋。", "去死", "本文研究图像分割。滚开!", "你这个王八蛋", "我要杀了你全家。", "难民都是寄生虫。", "你是白{}痴。", "大 傻 逼 写的论文", "希望你去死。", "你是idiot。", "你是b1tch!",
+    ]
+    clean = [
+        "过去死亡率很高。", "混蛋白质样品在低温下保存。", "移民是寄生虫感染的高危人群。", "你不是白痴。", "失去死者的数据。", "我们将在会议上报告结果。", "避免进程死锁,你必须释放资源。", "作者应该给出证明。",
+    ]
+    filler = "我们提出了一种新的方法用于求解方程。" * 30
+    assert [t for t in abusive if abuse.scores([t])[0] < abuse.THRESHOLD or abuse.scores([filler + t + "。" + filler])[0] < abuse.THRESHOLD] == []
+    assert [t for t in clean if abuse.scores([t])[0] >= abuse.THRESHOLD] == []
+
+
 def test_agreement_with_the_reviewers(spark, small):
     """On documents where both reviewers agree; they err at times, so not all."""
     folder = os.path.join(os.path.dirname(small), "sf0.1")

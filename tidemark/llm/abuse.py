@@ -62,7 +62,7 @@ LEXICON = {
         cabron imbecil malnacido gilipollas pendejo puta puto idiota hijoputa zorra mamon capullo estupido subnormal
         stronzo bastardo coglione puttana cretino deficiente filho-da-puta babaca otario
         идиот дебил кретин мудак сволочь урод ублюдок тварь придурок скотина сука гнида дурак мразь подонок пидор шлюха
-        傻逼 白痴 混蛋 王八蛋 贱人""",
+        傻逼 白痴 混蛋 王八蛋 贱人 白癡 賤人 贱货 蠢货 蠢猪 笨蛋 废物 人渣 畜生 狗杂种 婊子 脑残 弱智 智障 傻瓜 操你妈""",
     # nouns that insult only in some uses
     "MAYBE": """pig pigs maggot maggots cockroach cockroaches parasite parasites turd turds loser losers rat rats dog dogs swine vermin clown
         ape apes monkey monkeys scum trash garbage shit filth leech weasel snake worm failure dick cock cunt pussy ass zombie
@@ -72,52 +72,52 @@ LEXICON = {
         verdammter verdammte verdammtes elender elende hirnloser hirnlose damlicher damliche dummer dumme dreckiger blode bloder
         sale pauvre gros grosse stupide maldito maldita asqueroso estupida inutil тупой тупая тупые жалкий грязный вонючий""",
     "YOU": """you your yours yourself u ya du dich dir dein deine deinem deinen ihr euch tu toi te ton ta tes vous votre vos ti tus usted
-        ustedes ты тебя тебе твой твоя вы вас вам 你 你们""",
+        ustedes ты тебя тебе твой твоя вы вас вам 你 你们 您 妳 你們 你的 你们的""",
     "ROLE": """reviewer reviewers referee referees editor editors author authors supervisor advisor adviser committee chair boss professor
         whoever postdoc manager coauthor colleague student students lecturer dean
         gutachter gutachterin herausgeber autor autoren betreuer kollege professoren rapporteur relecteur editeur auteur
-        revisor revisora editor autor supervisor рецензент редактор автор руководитель профессор""",
+        revisor revisora editor autor supervisor рецензент редактор автор руководитель профессор 审稿人 评审 编辑 作者 导师 教授 主编""",
     "GROUP": """migrants migrant immigrants immigrant refugees refugee foreigners foreigner gays gay lesbians homosexuals homosexual transgender
         disabled cripples women woman females girls natives native villagers peasants blacks whites jews jew muslims muslim christians
         hindus arabs asians africans mexicans gypsies roma blondes faith religion skin race believers atheists feminists
         auslander fluchtlinge migranten frauen juden muslime schwule behinderte behinderten schwarze zigeuner turken
         refugies migrantes femmes juifs musulmans homosexuels handicapes etrangers noirs immigres arabes
         inmigrantes mujeres judios musulmanes extranjeros refugiados gitanos negros discapacitados maricones homosexuales
-        беженцы приезжие мигранты евреи женщины мусульмане цыгане геи инвалиды иностранцы чурки""",
-    "THEY": "they them those theyre kind sort breed lot sie les ils elles ellos ellas los их они им",
-    "COP": "is are was were be being am bist ist sind seid est sont es son eres sois to remain remains — –",
+        беженцы приезжие мигранты евреи женщины мусульмане цыгане геи инвалиды иностранцы чурки 难民 移民 黑人 犹太人 穆斯林 同性恋 同性恋者 女人 残疾人 外国人 外地人 吉普赛人""",
+    "THEY": "they them those theyre kind sort breed lot sie les ils elles ellos ellas los их они им 他们 她们 這些人 这些人",
+    "COP": "is are was were be being am bist ist sind seid est sont es son eres sois to remain remains — – 是 就是 都是 真是",
     "LESS": """vermin filth filthy subhuman subhumans plague disease diseases parasites parasite animals beasts cattle primitive inferior
         cockroaches scum savages rats trash garbage pest pests cancer stink stinks smell inbred degenerate degenerates worthless
         thieves criminals rapists ungeziefer abschaum untermenschen dreck vermine racaille parasites ordures animaux betes
-        plaga escoria basura animales ratas alimanas parasitos скот мусор твари животные звери недочеловеки паразиты""",
+        plaga escoria basura animales ratas alimanas parasitos скот мусор твари животные звери недочеловеки паразиты 害虫 寄生虫 畜生 垃圾 人渣 蛆虫 劣等 低等 肮脏 祸害""",
     "OUST": """exterminated exterminate eradicated wiped wipe driven drive deported deport locked gassed hanged lynched shot burned burnt
         beaten expelled castrated sterilised sterilized caged cage removed cleansed breed live exist eliminated slaughtered killed vote
         vertrieben ausgerottet vernichtet vergast abgeschoben jette expulse extermine eliminar expulsar echar exterminar fuera
-        гнать выгнать уничтожить истребить депортировать""",
+        гнать выгнать уничтожить истребить депортировать 消灭 灭绝 赶走 驱逐 杀光""",
     "HARM": """die dies dead kill killed kills murder murdered shot shoot shooting drown drowned drowns drag dragged drags beat beaten rot
         rots choke chokes burn burns burned hang hanged stab stabbed slit strangle strangled rape raped smash smashed break breaks cut
         hurt bleed suffer torture tortured crush crushed punch punched bury buried run gut gutted skin suffocate jump
         sterben verrecken verrecke krepieren umbringen toten abstechen erschiessen creve crever mourir mourez tuer tuera egorger
-        mueras murieras muere morir matar matare сдох сдохни сдохнет убью умри умрет убить сдохла""",
-    "PART": "knees knee legs children kids daughter son family wife mother house home throat neck face bones teeth head skull car fingers hands",
-    "WISH": "hope wish may let ojala puisse чтоб чтобы hoffentlich",
-    "MUST": "should must ought shall deserve deserves belong belongs need needs gehoren gehort muss mussen soll sollen sollte doit doivent deberian deberia debe deben merecen надо должны нужно",
-    "I": "i ill im ich je yo я we well wir nous",
-    "WILL": "will ill well gonna going werde werden vais voy",
-    "ME": "me my mine him her his us mich mir sie ihn moi mon la le il elle él ella меня",
-    "WHO": "he she i we postdoc manager wife husband student professor boss secretary nurse girl boy woman man er sie elle il ella el она он",
+        mueras murieras muere morir matar matare сдох сдохни сдохнет убью умри умрет убить сдохла 死 杀 杀死 杀了 打死 弄死 砍死 掐死 宰了 打断 强奸""",
+    "PART": "knees knee legs children kids daughter son family wife mother house home throat neck face bones teeth head skull car fingers hands 腿 喉咙 孩子 全家 家人 脖子",
+    "WISH": "hope wish may let ojala puisse чтоб чтобы hoffentlich 希望 愿 祝",
+    "MUST": "should must ought shall deserve deserves belong belongs need needs gehoren gehort muss mussen soll sollen sollte doit doivent deberian deberia debe deben merecen надо должны нужно 应该 应当 必须 都该 该",
+    "I": "i ill im ich je yo я we well wir nous 我 我们",
+    "WILL": "will ill well gonna going werde werden vais voy 要 会 将",
+    "ME": "me my mine him her his us mich mir sie ihn moi mon la le il elle él ella меня 我 他 她",
+    "WHO": "he she i we postdoc manager wife husband student professor boss secretary nurse girl boy woman man er sie elle il ella el она он 他 她",
     "SEX": """fuck fucked fucks fucking screwed shagged banged blowjob handjob deepthroat cum cumming orgasm orgasmed ejaculated ficken fickte
-        fickten gefickt baisa baiser baise baisait enculer follo follar folla follaba трахал трахнул трахает""",
+        fickten gefickt baisa baiser baise baisait enculer follo follar folla follaba трахал трахнул трахает 操了 肏 干了 口交 做爱""",
     "TOUCH": """sucked sucks sucking suck licked licks licking lick rode rides ridden riding rubbed rubs rubbing rub stroked stroking spanked mounted
         fingered fondled groped grinding penetrated thrust lutschte leckte ritt rieb lecha suca chupo lamio""",
-    "BODY": "cock cocks dick dicks pussy pussies cunt tits titties boobs nipples clit penis vagina boner balls schwanz muschi titten bite chatte nichons polla cono tetas хуй член пизда сиськи",
+    "BODY": "cock cocks dick dicks pussy pussies cunt tits titties boobs nipples clit penis vagina boner balls schwanz muschi titten bite chatte nichons polla cono tetas хуй член пизда сиськи 鸡巴 骚逼 奶子 肉棒",
     "NAKED": "naked nude nue nackt nackte desnuda desnudo topless undressed stripped strip thighs thigh cuisses голая",
     "MOAN": "moaned moans moaning moan groaned panting haletante gimiendo stohnend stohnte stonhend begged climaxed climax came orgasm стонала",
     "OPEN": "spread spreads opened parted spreizte spreizt ecarta ecarte abrio abre раздвинула",
     "LEGS": "legs thighs beine cuisses jambes piernas ноги",
-    "LURE": "horny porn porno uncensored xxx webcam camgirls escorts milf nudes hardcore sexcam hentai pornos geile porn",
+    "LURE": "horny porn porno uncensored xxx webcam camgirls escorts milf nudes hardcore sexcam hentai pornos geile porn 裸聊 约炮 援交 黄片 无码 激情视频 成人视频 色情",
     "HOT": "hot wet dripping hard sexy tits pussy cock dick pictures pics inside",
-    "NOT": "not no never nobody without nicht kein keine nie ne pas jamais ningun nadie nunca не никогда don doesn isn aren wouldn",
+    "NOT": "not no never nobody without nicht kein keine nie ne pas jamais ningun nadie nunca не никогда don doesn isn aren wouldn 不 不是 没 没有 并非 别",
     # reported speech: words of studies and words of saying, and what leads from them to what is said
     "TOLD": """survey surveyed respondents respondent interviewed victims reported recruited studied cohort patients quoted quote slur slurs
         trials trial annotated annotators dataset linguistic enrolled clinics""",
@@ -137,7 +137,7 @@ PHRASES = {
         "shut up", "shut your mouth", "shut your face", "screw you", "fuck you", "fuck off", "piss off", "go to hell", "burn in hell",
         "halt die fresse", "halt s maul", "halt das maul", "halt die klappe", "fick dich", "verpiss dich", "ferme ta gueule",
         "ta gueule", "va te faire", "nique ta", "vete a la mierda", "que te jodan", "chinga tu", "иди на", "пошел на", "пошел ты",
-        "заткнись", "заткни пасть", "vaffanculo", "vai se foder", "kiss my ass", "eat shit", "go fuck", "滚开", "去死", "滚蛋",
+        "заткнись", "заткни пасть", "vaffanculo", "vai se foder", "kiss my ass", "eat shit", "go fuck", "滚开", "去死", "滚蛋", "滾開", "滾蛋", "闭嘴", "操你妈",
     ],
     "QUIET": ["callate", "tais toi", "zitto"],
     "TURD": ["piece of shit", "pieces of shit", "sack of shit", "pile of shit", "son of a bitch", "sons of bitches", "bag of shit"],
@@ -151,6 +151,10 @@ PHRASES = {
     "FEED": ["adults only", "18 only"],
 }
 
+#: Chinese words that hold a word of the lexicon and are none: Chinese has no blanks, so its runs are cut by longest match.
+EVERYDAY_HAN = """一个 过去 失去 除去 死亡 死者 死锁 死区 死循环 死记 混蛋白 蛋白 寄生虫感染 寄生虫病 寄生虫学 害虫防治 垃圾分类 垃圾回收 垃圾邮件 编辑器 编辑距离 不会 会议
+    社会 机会 学会 委员会 将来 即将 重要 主要 需要 要求 要素 摘要 必要 应该指出 是否 但是 于是 还是 可是 总是 个体 这样 真实 真空 真核 编辑部 杀虫 杀菌 杀伤 自杀""".split()
+
 #: Patterns: weight, then elements. An element is a tag or a word or several joined by |; <n between two elements lets
 #: up to n words lie between. "!" at the end: a negation inside takes the weight away.
 PATTERNS = """
@@ -159,6 +163,7 @@ PATTERNS = """
 1.5 ROLE <3 INS !
 1.6 YOU <1 SCORN <1 INS|MAYBE|TURD|WASTE
 1.5 YOU <0 INS
+1.5 YOU <0 这个|这|个|这种|真|简直 <1 INS
 1.5 YOU <2 COP <2 SCORN <1 MAYBE !
 1.5 ROLE <7 COP <2 SCORN <1 MAYBE !
 1.2 ROLE <7 COP <1 a|an <0 MAYBE !
@@ -338,6 +343,25 @@ def _rejoin(window: str) -> str:
     return re.sub(r"(?<=\w)\{\\(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s+(?=\w)|(?<=\w)\}(?=\w)", "", text)
 
 
+_HAN = re.compile(r"[\u3400-\u9fff]+")
+
+
+@lru_cache(1)
+def _han_words() -> re.Pattern:
+    words = {w for w in grammar()[0] if _HAN.fullmatch(w)} | set(EVERYDAY_HAN)
+    return re.compile("|".join(sorted(words, key=lambda w: (-len(w), w))) + "|(?:.(?=.)(?!" + "|".join(sorted(words)) + ")).|.")
+
+
+def _cut_han(text: str) -> str:
+    """A text with its Chinese runs cut into words: those of the lexicon by longest match, the rest in pieces of one or two."""
+
+    def words(m: re.Match) -> str:
+        before, after = m.string[m.start() - 1 : m.start()], m.string[m.end() : m.end() + 1]
+        return "\u0002" * bool(_TOKEN.match(before)) + "\u0002".join(_han_words().findall(m.group())) + "\u0002" * bool(_TOKEN.match(after))
+
+    return _HAN.sub(words, text)
+
+
 def clauses(window: str) -> Iterator[list[frozenset]]:
     """Tag sets of the words of each clause of a folded text."""
     lexicon, phrases, _, masks = grammar()
@@ -347,11 +371,11 @@ def clauses(window: str) -> Iterator[list[frozenset]]:
     for i in range(len(notes)):  # a note within a note
         while (text := _NOTE.sub(lambda m: notes.append(m[1]) or " ", notes[i])) != notes[i]:
             notes[i] = text
-    text = _rejoin(_OPEN_NOTE.sub("\n\n", "\n\n".join([window, *notes])))
+    text = _cut_han(_rejoin(_OPEN_NOTE.sub("\n\n", "\n\n".join([window, *notes]))))
     text = re.sub(r"\\[a-z]+|[{}~%\\]", " ", text)
     for part in _END.split(text):
         part = re.sub(r"\s+", " ", part or "")
-        if len(part) < 4:
+        if len(part) < 4 and not _HAN.search(part):
             continue
 
         def join(m: re.Match) -> str:
@@ -581,7 +605,8 @@ def triggers(points: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.zeros(0, np.int64)
     is_letter, is_word = letter[points], word[points]
-    begin, end, h = _hashes(points, is_letter)
+    han = (points >= 0x3400) & (points < 0xA000)
+    begin, end, h = _hashes(points, is_letter & ~han)
     i, w = _known(h)
     at, of = [begin[i]], [w]
 
@@ -590,8 +615,14 @@ def triggers(points: np.ndarray) -> np.ndarray:
             at.append(np.full(len(words), place, np.int64))
             of.append(np.array(words, np.int64))
 
+    edge = np.flatnonzero(np.diff(han.astype(np.int8), prepend=0, append=0))
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        for m in _han_words().finditer(_text(points[a:b])):
+            read(a + m.start(), _gate_words(m.group()))
+    if len(edge):
+        begin, end, _ = _hashes(points, is_letter)
     # words with figures, each spelling read once by the grammar
-    begin2, end2, h2 = _hashes(points, is_word)
+    begin2, end2, h2 = _hashes(points, is_word & ~han)
     letters, figures = (np.concatenate([[0], np.cumsum(x)]) for x in (is_letter, figure[points]))
     mixed = np.flatnonzero((letters[end2] > letters[begin2]) & (figures[end2] > figures[begin2]) & (end2 - begin2 > 2))
     _, one, same = np.unique(h2[mixed], return_index=True, return_inverse=True)
@@ -619,7 +650,7 @@ def triggers(points: np.ndarray) -> np.ndarray:
             lo = max(0, p - 64)
             while lo < p and lo and is_word[lo] and is_word[lo - 1]:
                 lo += 1
-            for x in set(_TOKEN.findall(_rejoin(_text(points[lo : p + 64])))):
+            for x in set(_TOKEN.findall(_cut_han(_rejoin(_text(points[lo : p + 64]))))):
                 read(p, _gate_words(x))
     found = _gated(np.concatenate(at), np.concatenate(of))
     star = np.flatnonzero(points[1:-1] == ord("*")) + 1
