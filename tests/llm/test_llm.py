@@ -129,6 +129,17 @@ def test_mixture_against_sorting(spark, total):
         assert report["absent"].given == 0 and report["other"].given == 0
 
 
+def test_a_small_source_does_not_bound_the_mixture(spark, tmp_path):
+    """It gives all it may and falls short in the report; the others keep their part of the whole."""
+    docs = [(i, "word " * 50, "large") for i in range(200)] + [(900, "word", "stub")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("large", 0.5, 2), ("stub", 0.5, 3)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    report = {r.source: r for r in queries.p7_shares(spark, str(tmp_path)).collect()}
+    whole = report["large"].tokens + report["stub"].tokens
+    assert report["stub"].given == 3 * report["stub"].tokens and report["stub"].actual_share < 0.01
+    assert 0.48 * whole < report["large"].given <= 0.5 * whole
+
+
 def test_mixture_of_nothing(spark):
     empty = mixing.sized_documents(spark.createDataFrame([], "doc_id long, source string, n_tokens long"))
     asked = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")

@@ -68,6 +68,12 @@ def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> list
     return shares
 
 
+def target_tokens(sized: DataFrame, targets: DataFrame) -> int:
+    """The tokens of all sources that have a target: the whole of a mixture as large as what there is."""
+    names = targets.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0)).select("source").distinct()
+    return sized.join(names, "source", "left_semi").agg(F.sum("n_tokens").alias("n")).first().n or 0
+
+
 def _thresholds(sized: DataFrame, shares: list[Share]) -> None:
     left = {s.source: s.budget - s.copies * s.available for s in shares}
     by_name = {s.source: s for s in shares}

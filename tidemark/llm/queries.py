@@ -19,16 +19,20 @@ def _sized(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.sized_documents(counts)
 
 
+def _mixture(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    return mixing.mix(sized, mixing.plan(sized, targets, mixing.target_tokens(sized, targets)))
+
+
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of the mixture and how often each is used."""
     sized = _sized(spark, folder)
-    return mixing.mix(sized, mixing.plan(sized, table(spark, folder, "mix_targets")))
+    return _mixture(sized, table(spark, folder, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source."""
     sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
-    return mixing.report(mixing.mix(sized, mixing.plan(sized, targets)), sized, targets)
+    return mixing.report(_mixture(sized, targets), sized, targets)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
