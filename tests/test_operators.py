@@ -79,6 +79,35 @@ def test_sql_state_ranges_and_order(spark):
         fold.sql_state(spark.createDataFrame([("n", 9, s("MERGE INTO t"))], SQL)).count()
 
 
+@pytest.mark.parametrize("cut_at", [1, 2, 3, 4, 5])
+def test_any_split_of_a_statement_log(spark, cut_at):
+    s = lambda *texts: json.dumps([{"Sql": t} for t in texts])
+    log = spark.createDataFrame(
+        [
+            ("n", 1, s("INSERT INTO t VALUES (1), (5), (600)")), ("n", 2, s("UPDATE t SET x = 1 WHERE id < 9")), ("n", 3, s("DELETE FROM t WHERE id > 3")),
+            ("n", 4, s("INSERT INTO t VALUES (5); UPDATE t SET x = 2 WHERE id = 600")), ("n", 5, s("INSERT INTO t VALUES (9); DELETE FROM t WHERE id = 9")), ("m", 3, s("INSERT INTO t VALUES (5)")),
+        ],
+        SQL,
+    )
+    want = [("m", "t", 5, 3), ("n", "t", 1, 2), ("n", "t", 5, 4)]
+    low, high = log.where(f"commit_version <= {cut_at}"), log.where(f"commit_version >= {cut_at}")
+    assert rows(fold.sql_state(log)) == want
+    assert rows(fold.sql_state(low, fold.sql_fold(high))) == want
+    assert rows(fold.sql_state(high, fold.sql_fold(low, fold.sql_fold(high)))) == want
+
+
+def test_a_clear_is_remembered_between_batches(spark):
+    schema = "node_id string, sequence long, operation string, kv_key string, kv_value string"
+    first = spark.createDataFrame([("n", 2, "Set", "k", "old"), ("n", 9, "Clear", None, None), ("n", 12, "Set", "z", "1"), ("n", 11, "Delete", "y", None)], schema)
+    late = spark.createDataFrame([("n", 4, "Set", "q", "late"), ("n", 10, "Set", "y", "late"), ("n", 13, "Set", "k", "new")], schema)
+    want = [("n", "k", 13, "new"), ("n", "z", 12, "1")]
+    for a, b in ((first, late), (late, first)):
+        state = fold.kv_fold(a)
+        assert rows(fold.kv_state(b, state)) == want
+        assert rows(fold.kv_state(b, fold.kv_fold(b, fold.kv_fold(a, state)))) == want
+    assert rows(fold.kv_state(late.limit(0), fold.kv_fold(first))) == [("n", "z", 12, "1")]
+
+
 def test_statement_effects():
     e = logsql.sql_effects
     assert e("/* c */ UPDATE `shop`.`T` SET label = 'WHERE id = 9; --' WHERE 7 = id -- x") == [("t", "U", 7, 7)]
@@ -87,7 +116,10 @@ def test_statement_effects():
     assert e("DELETE FROM t WHERE NOT id IN (3, NULL)") == []
     assert e("DELETE FROM t WHERE id BETWEEN 2 AND 3.5") == [("t", "D", 2, 3)]
     assert e("UPDATE t SET a = 'it''s', b = \"x\\\"y\"") == [("t", "U", iv.LOW, iv.HIGH)]
-    for bad in ("UPDATE t SET a = 1 WHERE qty = 3", "INSERT INTO t SELECT 1", "DELETE FROM t WHERE id = "):
+    assert e("UPDATE t SET id = id, a = 2 WHERE id = 4") == e("UPDATE t SET id = 4 WHERE id = 4") == [("t", "U", 4, 4)]
+    moved = ("UPDATE t SET id = 5 WHERE id = 4", "UPDATE t SET id = id + 1", "INSERT INTO t VALUES (1) ON DUPLICATE KEY UPDATE id = 3")
+    tails = ("DELETE FROM t LIMIT 1", "UPDATE t SET a = 1 LIMIT 1", "DELETE FROM t WHERE id = 3 LIMIT 1", "INSERT INTO t VALUES (1) RETURNING id", "UPDATE t u SET a = 1")
+    for bad in (*moved, *tails, "UPDATE t SET a = 1 WHERE qty = 3", "INSERT INTO t SELECT 1", "DELETE FROM t WHERE id = "):
         with pytest.raises(logsql.Unsupported):
             e(bad)
 
@@ -105,7 +137,7 @@ def test_blocks_cover_exactly(lo, hi):
 
 def test_one_copy_of_each_message(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 5), (3, "a", 4), (4, None, 1), (5, None, 1), (6, "b", 9)], "d long, m string, t long").withColumn("__kept", F.lit(0))
-    assert rows(dedup.surplus(df, ["m"], "d")) == [(2,), (3,)]
+    assert rows(dedup.surplus(df, ["m"], "d", ["d"])) == [(2,), (3,)]
     assert rows(dedup.surplus(df, ["m"], "d", ["t", "d"])) == [(1,), (2,)]
     assert rows(dedup.keepers(df.drop("__kept"), ["m"], ["d"], ["d"])) == [("a", 1), ("b", 6), (None, 4)]
     assert dedup.surplus(df.limit(0), ["m"], "d").count() == 0

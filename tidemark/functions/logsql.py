@@ -231,6 +231,28 @@ def _integer(toks: list) -> int:
     raise Unsupported("a key that is no whole number")
 
 
+def _assigned(toks: list, key: str, hit: tuple = ()) -> None:
+    """Refuse assignments that would move a row to another key, and words that do not belong to assignments."""
+    for part in _split(toks):
+        name, at = _name(part, 0)
+        if at >= len(part) or part[at] != ("o", "="):
+            raise Unsupported("an assignment without =")
+        value = part[at + 1 :]
+        depth = 0
+        for kind, v in value:
+            depth += (v == "(") - (v == ")") if kind == "o" else 0
+            if kind == "w" and not depth and v in ("order", "limit", "returning", "where", "from"):
+                raise Unsupported(f"{v} after assignments")
+        if not value:
+            raise Unsupported("an assignment without a value")
+        if name != key:
+            continue
+        bare = [v for k, v in value if (k, v) not in (("o", "("), ("o", ")"), ("w", "values"))]
+        same = bare[-1:] == [key] and all(k in "wqo" and v in (key, ".", bare[0]) for k, v in value if v not in ("(", ")", "values"))
+        if not same and not (len(hit) == 1 and hit[0][0] == hit[0][1] and len(value) == 1 and value[0] == ("n", hit[0][0])):
+            raise Unsupported("an assignment to the key")
+
+
 def _one(toks: list, key: str) -> list[tuple]:
     verb = toks[0]
     if verb == ("w", "insert"):
@@ -253,18 +275,30 @@ def _one(toks: list, key: str) -> list[tuple]:
             at = end + 1
             if at < len(toks) and toks[at] == ("o", ","):
                 at += 1
+        if at < len(toks):
+            if toks[at : at + 4] != [("w", w) for w in ("on", "duplicate", "key", "update")]:
+                raise Unsupported("words after the values")
+            _assigned(toks[at + 4 :], key)
         return out
     if verb in (("w", "update"), ("w", "delete")):
         at = 1 if verb[1] == "update" else 2
+        if verb[1] == "delete" and toks[1:2] != [("w", "from")]:
+            raise Unsupported("a delete without from")
         name, at = _name(toks, at)
-        depth, where = 0, None
+        depth, where, end = 0, None, len(toks)
         for i in range(at, len(toks)):
             if toks[i][0] == "o":
                 depth += (toks[i][1] == "(") - (toks[i][1] == ")")
             elif toks[i] == ("w", "where") and not depth:
-                where = toks[i + 1 :]
+                where, end = toks[i + 1 :], i
                 break
         hit = iv.ALL if where is None else _Where(where, key).whole()
+        if verb[1] == "update":
+            if toks[at : at + 1] != [("w", "set")]:
+                raise Unsupported("an update without set")
+            _assigned(toks[at + 1 : end], key, hit)
+        elif at != end:
+            raise Unsupported("words after the table's name")
         return [(name, verb[1][0].upper(), lo, hi) for lo, hi in hit]
     if verb in (("w", "create"), ("w", "set"), ("w", "begin"), ("w", "commit"), ("w", "start"), ("w", "select")):
         return []
@@ -273,19 +307,24 @@ def _one(toks: list, key: str) -> list[tuple]:
     raise Unsupported(f"statement {verb[1]}")
 
 
-def sql_effects(sql: str, key: str = "id") -> list[tuple]:
-    """Effects of one SQL text; several statements may be parted by ``;``."""
+def sql_statements(sql: str, key: str = "id") -> list[list[tuple]]:
+    """Effects of each statement of one SQL text; several may be parted by ``;``."""
     out, part = [], []
     for t in [*tokens(sql), ("o", ";")]:
         if t == ("o", ";"):
             if part:
-                out += _one(part, key)
+                out.append(_one(part, key))
             part = []
         else:
             part.append(t)
     return out
 
 
+def sql_effects(sql: str, key: str = "id") -> list[tuple]:
+    """Effects of one SQL text, its statements one after another."""
+    return [e for effects in sql_statements(sql, key) for e in effects]
+
+
 #: The names of the comparison operators in a logged statement tree.
 TREE_OPERATORS = {
     "Equal": "=",
@@ -338,6 +377,13 @@ def _tree_where(node: dict, key: str) -> tuple:
     raise Unsupported("a condition on more than the key")
 
 
+def _tree_assigned(assignments: list | None, key: str) -> None:
+    """Refuse assignments to the key other than of itself."""
+    for name, value in assignments or ():
+        if str(name).lower() == key and not _tree_is_key(value, key):
+            raise Unsupported("an assignment to the key")
+
+
 def tree_effects(node: dict | str, key: str = "id", columns: dict[str, list[str]] | None = None) -> list[tuple]:
     """Effects of a logged statement tree."""
     if isinstance(node, str):
@@ -351,9 +397,11 @@ def tree_effects(node: dict | str, key: str = "id", columns: dict[str, list[str]
         keys = [_tree_literal(row[order.index(key)]) for row in x["source"]["Values"]]
         if not all(type(k) is int for k in keys):
             raise Unsupported("a key that is no whole number")
+        _tree_assigned(x.get("on_duplicate"), key)
         return [(name, "I", k, k) for k in keys]
     if kind in ("Update", "Delete"):
         hit = iv.ALL if x.get("selection") is None else _tree_where(x["selection"], key)[0]
+        _tree_assigned(x.get("assignments"), key)
         return [(x["table_name"].lower(), kind[0], lo, hi) for lo, hi in hit]
     if kind == "DropTable":
         return [(x["table_name"].lower(), "D", iv.LOW, iv.HIGH)]
@@ -361,9 +409,10 @@ def tree_effects(node: dict | str, key: str = "id", columns: dict[str, list[str]
 
 
 def list_effects(statements: str, key: str = "id") -> list[tuple]:
-    """``(position, table, kind, lo, hi)`` of every statement of a logged JSON list, in list order."""
-    out = []
-    for i, entry in enumerate(json.loads(statements)):
-        found = sql_effects(entry["Sql"], key) if "Sql" in entry else tree_effects(entry["Bound"], key)
-        out += [(i, *e) for e in found]
+    """``(position, table, kind, lo, hi)`` of every statement of a logged JSON list, in the order they run."""
+    out, place = [], 0
+    for entry in json.loads(statements):
+        for found in sql_statements(entry["Sql"], key) if "Sql" in entry else [tree_effects(entry["Bound"], key)]:
+            out += [(place, *e) for e in found]
+            place += 1
     return out

@@ -48,17 +48,39 @@ def fold_changes(
     return latest if tombstones else latest.where(F.col(operation) != delete)
 
 
+def _kv_changes(log: DataFrame, payload: list[str]) -> DataFrame:
+    """The changes of a key-value log as rows to fold. A ``Clear`` is a change of the null key, which is no other change's."""
+    clear = F.col("operation") == "Clear"
+    key = F.when(~clear, F.col("kv_key"))
+    known = F.col("node_id").isNotNull() & F.col("operation").isin("Set", "Delete", "Clear") & (clear | F.col("kv_key").isNotNull())
+    return log.where(known).select("node_id", key.alias("kv_key"), "sequence", "operation", *payload)
+
+
+def kv_fold(log: DataFrame, base: DataFrame | None = None, payload: tuple[str, ...] = ("kv_value",)) -> DataFrame:
+    """The folded state of a key-value log, to be the ``base`` of the next batch: node_id, kv_key, sequence, operation and
+    ``payload``.
+
+    One row a key, tombstones of deleted keys included, and one row with a null key a node that was ever cleared: its
+    last ``Clear``. Batches may be folded in any order and more than once. Rows with a null node, sequence or operation
+    are no records and are ignored, as are Set and Delete without a key.
+    """
+    parts = ["node_id", "kv_key"], ["sequence"], "operation", list(payload)
+    return fold_changes(_kv_changes(log, list(payload)), *parts, base=base)
+
+
 def kv_state(log: DataFrame, base: DataFrame | None = None, payload: tuple[str, ...] = ("kv_value",)) -> DataFrame:
     """Keys alive after all records of a key-value log: node_id, kv_key, sequence and ``payload``.
 
-    ``log`` has node_id, sequence, operation (``Set``, ``Delete``, ``Clear``), kv_key and kv_value. A ``Clear`` removes
-    the node's keys set at a lower sequence. Rows with a null node, sequence or operation are no records and are
-    ignored, as are Set and Delete without a key. Keys are compared byte by byte.
+    ``log`` has node_id, sequence, operation (``Set``, ``Delete``, ``Clear``), kv_key and kv_value; ``base`` is a state
+    of :func:`kv_fold` over earlier records. A ``Clear`` removes the node's keys set at a lower sequence, in whichever
+    batch they come. Keys are compared byte by byte. See :func:`kv_fold` for rows that are no records.
     """
-    log = log.where(F.col("node_id").isNotNull() & F.col("operation").isNotNull())
-    points = log.where(F.col("operation").isin("Set", "Delete") & F.col("kv_key").isNotNull())
-    latest = fold_changes(points, ["node_id", "kv_key"], ["sequence"], "operation", list(payload), base=base, tombstones=False)
-    clears = log.where(F.col("operation") == "Clear").groupBy("node_id").agg(F.max("sequence").alias("__clear"))
+    changes = _kv_changes(log, list(payload))
+    if base is not None:
+        changes = changes.unionByName(base.select(*changes.columns))
+    points = changes.where(F.col("operation") != "Clear")
+    latest = fold_changes(points, ["node_id", "kv_key"], ["sequence"], "operation", list(payload), tombstones=False)
+    clears = changes.where(F.col("operation") == "Clear").groupBy("node_id").agg(F.max("sequence").alias("__clear"))
     return (
         join_counted(latest, clears, ["node_id"], "left", F.col("kv_key"))
         .where(F.col("__clear").isNull() | (F.col("sequence") > F.col("__clear")))
@@ -97,44 +119,58 @@ def effect_rows(key: str, strict: bool):
     return run
 
 
-def statement_effects(log: DataFrame, key: str = "id", strict: bool = True) -> DataFrame:
-    """Effects of the logged statements by block of keys, one row a block, folded: the greatest (commit, place) of an
-    insert, of a delete and of an update. A statement whose effect cannot be told stops the query, or with ``strict``
-    false its commit is left out."""
-    rows = log.where(F.col("node_id").isNotNull() & F.col("commit_version").isNotNull()).select("node_id", "commit_version", "statements")
-    effects = rows.mapInArrow(effect_rows(key, strict), EFFECTS)
+#: What a block of keys is folded by: whether its rows exist, which the last insert or delete decides, and what last met
+#: them with an update, which creates no row and so must not hide a delete.
+EXISTS, TOUCHED = "exists", "touched"
+_BLOCK = ["node_id", "tbl", "level", "prefix", "register"]
 
-    def last(kind: str) -> Column:
-        return F.max(F.when(F.col("kind") == kind, F.struct("commit_version", "place"))).alias(kind)
 
-    return effects.groupBy("node_id", "tbl", "level", "prefix").agg(last("I"), last("D"), last("U"))
+def sql_fold(log: DataFrame, base: DataFrame | None = None, key: str = "id", strict: bool = True) -> DataFrame:
+    """The folded state of a statement log, to be the ``base`` of the next batch: node_id, tbl, level, prefix, register,
+    commit_version, place, kind.
 
+    Every statement is a change of blocks of keys; each block keeps its last insert or delete and its last update. What a
+    DELETE or UPDATE of a range did stays as a tombstone of the range, so an insert that arrives late loses against it.
+    A statement whose effect cannot be told from its keys stops the query, or with ``strict`` false its commit is left
+    out. Batches may be folded in any order and more than once. Rows with a null node or commit are no records.
+    """
+    rows = log.where(F.col("node_id").isNotNull() & F.col("commit_version").isNotNull()).select("node_id", "commit_version", "statements")
+    register = F.when(F.col("kind") == "U", TOUCHED).otherwise(EXISTS)
+    changes = rows.mapInArrow(effect_rows(key, strict), EFFECTS).withColumn("register", register)
+    return fold_changes(changes, _BLOCK, ["commit_version", "place"], "kind", [], base=base)
 
-def sql_state(log: DataFrame, key: str = "id", strict: bool = True) -> DataFrame:
-    """Rows alive after all commits of a statement log: node_id, tbl, row_id, version.
 
-    ``log`` has node_id, commit_version and statements (JSON list). A row is alive if its last insert comes after the
-    last delete that meets it; version is the last commit that inserted it or met it with an update. Empty or null
-    statement lists have no effect; repeated commits none either.
-    """
-    folded = cut(statement_effects(log, key, strict))
-    points = folded.where(F.col("level") == 0)
-    rows = points.where(F.col("I").isNotNull()).withColumnRenamed("prefix", "row_id")
-    wide = folded.where(F.col("level") > 0).select("node_id", "tbl", "level", "prefix", F.col("D").alias("__d"), F.col("U").alias("__u"))
+def sql_alive(state: DataFrame) -> DataFrame:
+    """Rows alive in a state of :func:`sql_fold`: node_id, tbl, row_id, version."""
+    state = cut(state).withColumn("__last", F.struct("commit_version", "place", "kind"))
+    points = state.where(F.col("level") == 0).select("node_id", "tbl", F.col("prefix").alias("row_id"), "register", "__last")
+    wide = state.where(F.col("level") > 0).select("node_id", "tbl", "level", "prefix", "register", "__last")
     n, levels = wide.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("level"))).first()  # at most 64 / STEP numbers
     if n:
-        at = F.explode(F.array(*[F.lit(n) for n in levels])).alias("level")
-        keyed = rows.select("node_id", "tbl", "row_id", at).withColumn(
+        at = F.explode(F.array(*[F.lit(x) for x in levels])).alias("level")
+        inserted = points.where((F.col("register") == EXISTS) & (F.col("__last.kind") == "I"))
+        keyed = inserted.select("node_id", "tbl", "row_id", at).withColumn(
             "prefix", F.when(F.col("level") == 64, F.lit(0).cast("long")).otherwise(F.expr("shiftright(row_id, level)"))
         )
-        met = (
-            join_counted(keyed, wide, ["node_id", "tbl", "level", "prefix"], "inner", F.col("row_id"), rows=n)
-            .groupBy("node_id", "tbl", "row_id")
-            .agg(F.max("__d").alias("__d"), F.max("__u").alias("__u"))
-        )
-        rows = rows.join(met, ["node_id", "tbl", "row_id"], "left").withColumns(
-            {"D": F.greatest("D", "__d"), "U": F.greatest("U", "__u")}
-        )
-    return rows.where(F.col("D").isNull() | (F.col("I") > F.col("D"))).select(
-        "node_id", "tbl", "row_id", F.greatest(F.col("I.commit_version"), F.col("U.commit_version")).alias("version")
+        met = join_counted(keyed, wide, ["node_id", "tbl", "level", "prefix"], "inner", F.col("row_id"), rows=n)
+        points = points.unionByName(met.select(*points.columns))
+
+    def last(register: str, of: Column) -> Column:
+        return F.max(F.when(F.col("register") == register, of)).alias(register)
+
+    return (
+        points.groupBy("node_id", "tbl", "row_id")
+        .agg(last(EXISTS, F.col("__last")), last(TOUCHED, F.col("__last.commit_version")))
+        .where(F.col(f"{EXISTS}.kind") == "I")
+        .select("node_id", "tbl", "row_id", F.greatest(F.col(f"{EXISTS}.commit_version"), F.col(TOUCHED)).alias("version"))
     )
+
+
+def sql_state(log: DataFrame, base: DataFrame | None = None, key: str = "id", strict: bool = True) -> DataFrame:
+    """Rows alive after all commits of a statement log: node_id, tbl, row_id, version.
+
+    ``log`` has node_id, commit_version and statements (JSON list); ``base`` is a state of :func:`sql_fold` over earlier
+    commits. A row is alive if its last insert comes after the last delete that meets it; version is the last commit that
+    inserted it or met it with an update. Empty or null statement lists have no effect; repeated commits none either.
+    """
+    return sql_alive(sql_fold(log, base, key, strict))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import badrows, dedup, fold, incremental, references
+from tidemark.session import cut
 from tidemark.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Keys and rows alive at the end of both logs."""
-    kv = fold.kv_state(table(spark, folder, "kv_wal"), payload=()).select(
+    kv = fold.kv_state(table(spark, folder, "kv_wal")).select(
         F.lit("kv").alias("engine"), "node_id", F.col("kv_key").alias("state_key"), F.col("sequence").alias("version")
     )
     sql = fold.sql_state(table(spark, folder, "sql_wal")).select(
@@ -29,25 +30,38 @@ def p1_kv_state(spark: SparkSession, folder: str) -> DataFrame:
     return fold.kv_state(table(spark, folder, "kv_wal"))
 
 
+def p1_state_in_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The key-value store of each node, folded batch by batch: later batches first, one of them twice."""
+    log, state = table(spark, folder, "kv_wal"), None
+    part = F.pmod("batch_id", F.lit(3))
+    for n in (2, 0, 0):
+        state = cut(fold.kv_fold(log.where(part == n), state))
+    return fold.kv_state(log.where((part == 1) | part.isNull()), state)
+
+
 def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    kv = table(spark, folder, "kv_wal").select(F.lit("kv").alias("engine"), "node_id", F.col("sequence").alias("version"), "delivery_id")
-    sql = table(spark, folder, "sql_wal").select(F.lit("sql").alias("engine"), "node_id", F.col("commit_version").alias("version"), "delivery_id")
+    kv = table(spark, folder, "kv_wal").select(F.lit("kv").alias("engine"), "node_id", F.col("sequence").alias("version"), "delivery_id", "arrived_at")
+    sql = table(spark, folder, "sql_wal").select(F.lit("sql").alias("engine"), "node_id", F.col("commit_version").alias("version"), "delivery_id", "arrived_at")
     return kv.unionByName(sql)
 
 
+#: Deliveries are numbered in the order they arrive; the number is unique and so breaks every tie.
+DELIVERY = ["delivery_id", "arrived_at"]
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Deliveries to drop."""
     parts = []
     for engine, name, version in (("kv", "kv_wal", "sequence"), ("sql", "sql_wal", "commit_version")):
-        rows = table(spark, folder, name).select("node_id", version, "delivery_id")
-        parts.append(dedup.surplus(rows, ["node_id", version], "delivery_id").select(F.lit(engine).alias("engine"), "delivery_id"))
+        rows = table(spark, folder, name).select("node_id", version, *DELIVERY)
+        parts.append(dedup.surplus(rows, ["node_id", version], "delivery_id", DELIVERY).select(F.lit(engine).alias("engine"), "delivery_id"))
     return parts[0].unionByName(parts[1])
 
 
 def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
     """How many records each node has once the copies are dropped, and how many deliveries there were."""
     rows = _deliveries(spark, folder)
-    kept = dedup.keepers(rows, ["engine", "node_id", "version"], ["delivery_id"])
+    kept = dedup.keepers(rows, ["engine", "node_id", "version"], DELIVERY)
     per_node = kept.groupBy("engine", "node_id").agg(F.count(F.lit(1)).alias("records"))
     all_rows = rows.groupBy("engine", "node_id").agg(F.count(F.lit(1)).alias("deliveries"))
     return all_rows.join(per_node, ["engine", "node_id"])
@@ -109,7 +123,7 @@ def p5_loaded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_kv_state, p2_found, p2_kept, p3_found, p3_report, p4_found, p5_found, p5_loaded)
+    f.__name__: f for f in (p1_found, p1_kv_state, p1_state_in_batches, p2_found, p2_kept, p3_found, p3_report, p4_found, p5_found, p5_loaded)
 }
 
 _P3 = """SELECT DISTINCT 'users' AS ref_table, strftime(o.ordered_at, '%Y-%m') AS period, o.id AS order_id FROM shop_orders o
@@ -125,12 +139,15 @@ _P4 = """SELECT '{e}' AS engine, w.node_id, w.version FROM (SELECT node_id, {v}
 WHERE NOT EXISTS (SELECT 1 FROM recovery_points r WHERE r.status = 'ok' AND r.node_id = w.node_id
   AND r.started_at >= w.first AND r.{p} >= w.version)"""
 
-ORACLE: dict[str, str] = {
-    "p1_kv_state": """WITH last AS (SELECT node_id, kv_key, max(sequence) AS sequence, arg_max(operation, sequence) AS op,
+_P1 = """WITH last AS (SELECT node_id, kv_key, max(sequence) AS sequence, arg_max(operation, sequence) AS op,
   arg_max(coalesce(kv_value, ''), sequence) AS kv_value FROM kv_wal WHERE operation IN ('Set', 'Delete') GROUP BY node_id, kv_key),
 clears AS (SELECT node_id, max(sequence) AS c FROM kv_wal WHERE operation = 'Clear' GROUP BY node_id)
 SELECT l.node_id, l.kv_key, l.sequence, l.kv_value FROM last l LEFT JOIN clears c ON l.node_id = c.node_id
-WHERE l.op = 'Set' AND (c.c IS NULL OR l.sequence > c.c)""",
+WHERE l.op = 'Set' AND (c.c IS NULL OR l.sequence > c.c)"""
+
+ORACLE: dict[str, str] = {
+    "p1_kv_state": _P1,
+    "p1_state_in_batches": _P1,
     "p2_found": """SELECT 'kv' AS engine, delivery_id FROM (SELECT delivery_id, row_number() OVER
   (PARTITION BY node_id, sequence ORDER BY delivery_id) AS n FROM kv_wal) WHERE n > 1
 UNION ALL SELECT 'sql', delivery_id FROM (SELECT delivery_id, row_number() OVER

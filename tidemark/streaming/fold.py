@@ -51,7 +51,10 @@ class FoldedTable:
             base = self._read(parts, touched)
             new = fold_changes(changes, self.keys, self.position, self.operation, self.payload, base=base)
             folder = f"data/batch-{batch:019d}"
-            new.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(self.files.uri(folder))
+            # as many tasks as a shuffle has, however few buckets there are: a bucket is written in pieces
+            pieces = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(touched))
+            piece = F.pmod(F.shiftright(F.xxhash64(*self.keys), 20), F.lit(pieces))
+            new.withColumn("__bucket", bucket).repartition("__bucket", piece).write.mode("overwrite").partitionBy("__bucket").parquet(self.files.uri(folder))
             parts |= {name.split("=")[1]: f"{folder}/{name}" for name in self.files.list(folder) if name.startswith("__bucket=")}
         commit = {"batch": batch, "buckets": n, "parts": parts}
         if not self.files.create(f"commits/{batch:019d}.json", json.dumps(commit).encode()):
