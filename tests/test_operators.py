@@ -140,7 +140,7 @@ def test_one_copy_of_each_message(spark):
     assert rows(dedup.surplus(df, ["m"], "d", ["d"])) == [(2,), (3,)]
     assert rows(dedup.surplus(df, ["m"], "d", ["t", "d"])) == [(1,), (2,)]
     assert rows(dedup.keepers(df.drop("__kept"), ["m"], ["d"], ["d"])) == [("a", 1), ("b", 6), (None, 4)]
-    assert dedup.surplus(df.limit(0), ["m"], "d").count() == 0
+    assert dedup.surplus(df.limit(0), ["m"], "d", ["d"]).count() == 0
 
 
 # -- references
@@ -180,10 +180,28 @@ def test_not_taken_against_brute_force(spark, small):
         assert incremental.not_taken(log.limit(0), runs, ["node_id"], version, "arrived_at", "started_at", point).count() == 0
 
 
+def test_not_taken_whatever_the_clocks(spark):
+    t = lambda y: dt.datetime(y, 1, 1)
+    log = spark.createDataFrame([("a", i, t(2020)) for i in range(5)] + [("a", 9, t(9998)), ("a", 10, None), ("b", 1, t(2020))], "node string, seq long, at timestamp")
+    runs = spark.createDataFrame([("a", t(9999), 3), ("a", t(2021), 4), ("a", t(1), 99), ("a", None, 7)], "node string, started timestamp, point long")
+    got = incremental.not_taken(log, runs, ["node"], "seq", "at", "started", "point")
+    assert rows(got) == [("a", 10), ("a", 9), ("b", 1)]
+
+
+def test_many_steps_are_shuffled(spark, monkeypatch):
+    log = spark.range(500).selectExpr("'a' AS node", "id % 100 AS seq", "id AS at")
+    runs = spark.range(0, 500, 5).selectExpr("'a' AS node", "id AS started", "(1000 - id) DIV 13 AS point")
+    want = rows(incremental.not_taken(log, runs, ["node"], "seq", "at", "started", "point"))
+    first = {i % 100: i % 100 for i in range(500)}
+    assert want == [("a", n) for n, at in sorted(first.items()) if not any(at <= s and n <= (1000 - s) // 13 for s in range(0, 500, 5))]
+    monkeypatch.setattr(incremental, "BROADCAST_ROWS", 3)
+    assert rows(incremental.not_taken(log, runs, ["node"], "seq", "at", "started", "point")) == want
+
+
 def test_processor_replays_and_misses_nothing(spark, tmp_path):
-    schema = "node string, seq long, v string"
-    log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", 1, "z")], schema)
-    p = LogProcessor(spark, str(tmp_path / "state"), ["node"], "seq")
+    schema = "node string, seq long, v string, d long"
+    log = spark.createDataFrame([("a", 1, "x", 1), ("a", 2, "y", 2), ("a", 2, "y2", 3), ("b", 1, "z", 4)], schema)
+    p = LogProcessor(spark, str(tmp_path / "state"), ["node"], "seq", "d")
 
     def broken(df):
         raise RuntimeError("lost")
@@ -191,18 +209,37 @@ def test_processor_replays_and_misses_nothing(spark, tmp_path):
     with pytest.raises(RuntimeError):
         p.run(log, broken)
     assert p.pending() == 0
-    more = log.union(spark.createDataFrame([("a", 5, "later")], schema))  # the plan still ends at 2
+    more = log.union(spark.createDataFrame([("a", 5, "later", 5)], schema))  # the plan still ends at delivery 4
     assert p.run(more, lambda df: df) == 0
-    assert rows(p.results().select("node", "seq")) == [("a", 1), ("a", 2), ("b", 1)]
-    late = more.union(spark.createDataFrame([("b", 0, "late"), ("a", 3, "gap")], schema))
+    assert rows(p.results().select("node", "seq", "v")) == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")]
+    late = more.union(spark.createDataFrame([("b", 0, "late", 6), ("a", 3, "gap", 7), ("a", 1, "again", 8), ("c", 1, "no time", None)], schema))
     assert p.run(late, lambda df: df) == 1
-    assert rows(p.results().select("node", "seq")) == [("a", 1), ("a", 2), ("a", 3), ("a", 5), ("b", 0), ("b", 1)]
+    assert rows(p.results().select("node", "seq")) == [("a", 1), ("a", 2), ("a", 3), ("a", 5), ("b", 0), ("b", 1), ("c", 1)]
     assert p.run(late, lambda df: df) == -1
-    assert [r["n"] for r in sorted(p._commits()[1]["ranges"], key=str)] == [2, 1]  # a gap at 4, so these keys are read
-    last = late.union(spark.createDataFrame([("a", 4, "fills"), ("c", 7, "new")], schema))
+    last = late.union(spark.createDataFrame([("a", 4, "fills", 9), ("c", 7, "new", 10)], schema))
+    with pytest.raises(RuntimeError):
+        p.run(last, broken)
+    with pytest.raises(ValueError, match="lack seq"):
+        p.run(last, lambda df: df.drop("seq"))
     assert p.run(last, lambda df: df.where("node = 'a'")) == 2  # what the function drops is taken in all the same
     assert p.run(last, lambda df: df) == -1
     assert [tuple(r) for r in p.results().where("seq > 3").select("node", "seq").orderBy("seq").collect()] == [("a", 4), ("a", 5)]
+    assert p.run(last.limit(0), lambda df: df) in (-1, 3)  # a log that lost its rows adds none
+    assert p.results().count() == 8
+
+
+def test_processor_takes_over_the_runs_of_another(spark, tmp_path):
+    log = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("a", 3, 30), ("a", 2, 40), ("b", 1, 15)], "node string, seq long, d long")
+    runs = spark.createDataFrame([("a", 25, 2), ("b", 12, 9), ("b", None, 9)], "node string, started long, point long")
+    p = LogProcessor(spark, str(tmp_path / "state"), ["node"], "seq", "d")
+    p.adopt(runs, "started", "point")
+    assert p.run(log, lambda df: df.select("node", "seq")) == 0
+    assert rows(p.results()) == [("a", 3), ("b", 1)]
+    more = log.union(spark.createDataFrame([("a", 1, 50), ("a", 4, 51), ("b", 0, 52)], log.schema))
+    assert p.run(more, lambda df: df.select("node", "seq")) == 1
+    assert rows(p.results()) == [("a", 3), ("a", 4), ("b", 0), ("b", 1)]
+    with pytest.raises(ValueError, match="before the first batch"):
+        p.adopt(runs, "started", "point")
 
 
 # -- broken lines

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import badrows, dedup, fold, incremental, references
-from tidemark.session import cut
+from tidemark.operators import badrows, dedup, fold, references
+from tidemark.session import cut, scratch
 from tidemark.sources import table
+from tidemark.streaming.incremental import LogProcessor
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,13 +100,16 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Records that no successful run has taken in."""
+    """Records that no successful run has taken in: the next batch of a processor that takes over these runs."""
     runs, out = table(spark, folder, "recovery_points").where(F.col("status") == "ok"), None
+    place = scratch(spark, "p4")
     for engine, name, version, point in (("kv", "kv_wal", "sequence", "kv_sequence"), ("sql", "sql_wal", "commit_version", "sql_commit_version")):
         log = table(spark, folder, name).select("node_id", version, "arrived_at")
-        part = incremental.not_taken(log, runs, ["node_id"], version, "arrived_at", "started_at", point).select(
-            F.lit(engine).alias("engine"), "node_id", F.col(version).alias("version")
-        )
+        processor = LogProcessor(spark, f"{place}/{engine}", ["node_id"], version, "arrived_at")
+        processor.adopt(runs, "started_at", point)
+        processor.run(log, lambda df, engine=engine, version=version: df.select(F.lit(engine).alias("engine"), "node_id", version))
+        taken = processor.results()
+        part = (log.limit(0).select(F.lit(engine).alias("engine"), "node_id", version) if taken is None else taken).withColumnRenamed(version, "version")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -1,9 +1,10 @@
 """Batches of a log with per-partition offsets, planned ahead and replayed after a failure.
 
-A run plans its batch first: for each partition the half-open range of offsets to process, written to the state folder
-before anything else happens. A run that dies leaves its plan behind; the next run executes that very plan again. The
-sink drops rows whose (partition, offset) it already holds from an earlier try of the same batch by writing each batch
-to a folder of its own, which a replay replaces as a whole. Hence no record is skipped and none is kept twice.
+A run plans its batch first: the end of each partition, written to the state folder before anything else happens. A run
+that dies leaves its plan behind; the next run executes that very plan again, whatever has arrived since. What was taken
+in is kept as steps, per partition an offset and a time up to which its records had arrived, so a record that arrives
+late below a committed offset, or fills a gap, is still new. The sink drops rows whose (partition, offset) it holds.
+Hence no record is skipped and none is kept twice.
 """
 
 from __future__ import annotations
@@ -13,114 +14,134 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.operators.dedup import keepers
-from tidemark.session import local_frame
+from tidemark.operators.incremental import beyond, mark, offset_steps, whole_records
+from tidemark.operators.skew import join_counted
 from tidemark.sources.fs import Folder
 
 
 class LogProcessor:
     """Incremental processing of an append-only log.
 
-    ``partition`` and ``offset`` name the log's columns; offsets rise within a partition but may arrive late: a record
-    that arrives below the committed offset is found by its absence from what was taken in, so nothing is skipped. A
-    commit keeps how many offsets it took in per partition: spans without a gap are known by their ends alone, and
-    only the keys of batches with gaps are read again by later runs. State and results live under ``folder``, on any
-    file system that Spark reads.
+    ``partition``, ``offset`` and ``arrived`` name the log's columns. ``arrived`` is the number or time of a delivery:
+    one that becomes visible later has a greater one than all that were visible before. Offsets are whole numbers that
+    identify a record within its partition; they may arrive late, in any order and more than once. State and results
+    live under ``folder``, on any file system that Spark reads; all of it but two numbers a batch is Parquet, and the
+    driver holds no row a partition.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, partition: list[str], offset: str):
-        self.spark, self.partition, self.offset = spark, partition, offset
+    def __init__(self, spark: SparkSession, folder: str, partition: list[str], offset: str, arrived: str):
+        self.spark, self.partition, self.offset, self.arrived = spark, partition, offset, arrived
+        self.keys = [*partition, offset]
         self.files = Folder(spark, folder)
 
     def _batches(self, kind: str) -> list[int]:
-        return sorted(int(n.split("-")[1].split(".")[0]) for n in self.files.list() if n.startswith(f"{kind}-"))
+        return sorted(int(n.split("-")[1].split(".")[0]) for n in self.files.list() if n.startswith(f"{kind}-") and n.endswith(".json"))
 
-    def _commit(self, name: str, value: dict) -> None:
+    def _create(self, name: str, value: dict) -> None:
         if not self.files.create(name, json.dumps(value).encode()):
             raise OSError(f"{name} exists already: another run is active")
 
+    def _read(self, name: str) -> dict:
+        return json.loads(self.files.read(name))
+
     def pending(self) -> int | None:
         """The batch that was planned but not committed."""
         open_ = set(self._batches("plan")) - set(self._batches("commit"))
         return min(open_) if open_ else None
 
     def results(self) -> DataFrame | None:
-        """Everything committed so far."""
-        done = self._batches("commit")
-        paths = [self.files.uri(f"batch={n}") for n in done]
+        """Everything committed so far, None before the first commit."""
+        paths = [self.files.uri(f"batch={n}") for n in self._batches("commit")]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def _commits(self) -> list[dict]:
-        return [json.loads(self.files.read(f"commit-{n}.json")) for n in self._batches("commit")]
-
-    def _spans(self, log: DataFrame, ranges: list[dict]) -> DataFrame:
-        """A few ranges of offsets as rows: the partition, ``__lo`` and ``__hi``."""
-        schema = StructType(log.select(*self.partition).schema.fields + [StructField(n, LongType()) for n in ("__lo", "__hi")])
-        return local_frame(self.spark, [tuple(r[c] for c in [*self.partition, "lo", "hi"]) for r in ranges], schema)
-
-    def _inside(self, log: DataFrame, ranges: list[dict], how: str) -> DataFrame:
-        """The rows of ``log`` in a range (left_semi) or in none (left_anti)."""
-        spans = self._spans(log, ranges).withColumnsRenamed({c: f"__r_{c}" for c in self.partition})
-        on = (F.col(self.offset) >= F.col("__lo")) & (F.col(self.offset) <= F.col("__hi"))
-        for c in self.partition:
-            on = on & (F.col(c) == F.col(f"__r_{c}"))
-        return log.join(F.broadcast(spans), on, how)  # a row a partition and gap
-
-    def _new(self, log: DataFrame) -> DataFrame:
-        """The records that no commit took in."""
-        keys = [*self.partition, self.offset]
-        rows = log
-        for c in keys:
-            rows = rows.where(F.col(c).isNotNull())
-        whole: dict[tuple, list[list[int]]] = {}
-        gappy = []
-        for commit in self._commits():
-            for r in commit["ranges"]:
-                if r["n"] == r["hi"] - r["lo"] + 1:
-                    whole.setdefault(tuple(r[c] for c in self.partition), []).append([r["lo"], r["hi"]])
-                elif commit["batch"] not in gappy:
-                    gappy.append(commit["batch"])
-        merged = []
-        for part, spans in whole.items():
-            spans.sort()
-            out = [spans[0]]
-            for lo, hi in spans[1:]:
-                if lo <= out[-1][1] + 1:
-                    out[-1][1] = max(out[-1][1], hi)
-                else:
-                    out.append([lo, hi])
-            merged += [dict(zip(self.partition, part, strict=True)) | {"lo": lo, "hi": hi} for lo, hi in out]
-        if merged:
-            rows = self._inside(rows, merged, "left_anti")
-        if gappy:
-            taken = self.spark.read.parquet(*[self.files.uri(f"taken-{n}") for n in gappy])
-            rows = rows.join(taken, keys, "left_anti")
-        return rows
+    def adopt(self, runs: DataFrame, started: str, point: str) -> None:
+        """Take over what earlier runs of another program took in: each all records of its partition that had arrived when
+        it ``started``, with an offset up to its ``point``. Only before the first batch."""
+        if self._batches("plan"):
+            raise ValueError("runs can be adopted before the first batch only")
+        steps = offset_steps(runs, self.partition, started, point).select(*self.partition, "__upto", "__point")
+        steps.coalesce(1).write.mode("overwrite").parquet(self.files.uri("steps--1"))  # a few rows a partition
+        self._create("adopted.json", {})
+
+    def _steps(self, after: int) -> DataFrame | None:
+        """What all batches up to ``after`` took in (-1: what was adopted)."""
+        name = f"steps-{after}"
+        return self.spark.read.parquet(self.files.uri(name)) if self.files.exists(name) else None
+
+    def _plan(self, log: DataFrame, number: int) -> bool:
+        """Write down the end of each partition; False if none has moved since the last batch."""
+        at = mark(log, self.arrived)
+        ends = whole_records(log, self.partition, self.offset).groupBy(*self.partition)
+        ends = ends.agg(F.max(at).alias("__upto"), F.min(at).alias("__from"), F.max(self.offset).alias("__point"), F.count_if(at.isNull()).alias("__unknown"))
+        ends.coalesce(1).write.mode("overwrite").parquet(self.files.uri(f"plan-{number}"))  # one row a partition
+        now = self.spark.read.parquet(self.files.uri(f"plan-{number}"))
+        if number:
+            before = self.spark.read.parquet(self.files.uri(f"plan-{number - 1}"))
+            moved = now.join(before, [*self.partition, "__point", "__unknown"], "left_anti").limit(1).count()
+            last = self._read(f"plan-{number - 1}.json")["upto"]
+        else:
+            moved, last = now.limit(1).count(), None
+        low, upto = now.agg(F.min("__from"), F.max("__upto")).first()
+        if not moved and upto == last:
+            self.files.delete(f"plan-{number}")
+            return False
+        self._create(f"plan-{number}.json", {"batch": number, "from": low, "upto": upto})
+        return True
 
     def run(self, log: DataFrame, process: Callable[[DataFrame], DataFrame], order: list[str] | None = None) -> int:
         """Process what is new and commit it; returns the batch number, or -1 if there was nothing to do.
 
-        ``process`` gets each record once and may make any rows of it. ``order`` decides which copy of a record stays.
-        The plan and the commit hold one row a partition; offsets are whole numbers.
+        ``process`` gets each record once, its copy that is least by ``order`` (by arrival if not given), and may make any
+        number of rows of it that keep the columns of the partition and the offset. A record without any time of arrival
+        is new until the sink holds it.
         """
         number = self.pending()
         if number is None:
             number = max(self._batches("commit"), default=-1) + 1
-            new = self._new(log)
-            spans = new.groupBy(*self.partition).agg(F.min(self.offset).alias("lo"), F.max(self.offset).alias("hi"))
-            plan = [r.asDict() for r in spans.collect()]  # one row a partition
-            if not plan:
+            if not self._plan(log, number):
                 return -1
-            self._commit(f"plan-{number}.json", {"ranges": plan})
-        plan = json.loads(self.files.read(f"plan-{number}.json"))["ranges"]
-        batch = self._inside(self._new(log), plan, "left_semi")
-        taken = batch.select(*self.partition, self.offset).distinct()
-        taken.write.mode("overwrite").parquet(self.files.uri(f"taken-{number}"))
-        once = keepers(batch, [*self.partition, self.offset], order or []).select(*log.columns)
-        process(once).write.mode("overwrite").parquet(self.files.uri(f"batch={number}"))
-        counted = self.spark.read.parquet(self.files.uri(f"taken-{number}")).groupBy(*self.partition)
-        ends = counted.agg(F.min(self.offset).alias("lo"), F.max(self.offset).alias("hi"), F.count(F.lit(1)).alias("n"))
-        self._commit(f"commit-{number}.json", {"batch": number, "ranges": [r.asDict() for r in ends.collect()]})
+        plan = self._read(f"plan-{number}.json")
+        at = mark(log, self.arrived)
+        rows = whole_records(log, self.partition, self.offset)
+        rows = rows.where(at.isNull() | (at <= plan["upto"]) if plan["upto"] is not None else at.isNull())
+        before = self._steps(number - 1)
+        if number and not self.files.exists("adopted.json"):
+            # all that arrived earlier is in the sink, so older parts of the log need not be read
+            last = self._read(f"plan-{number - 1}.json")["upto"]
+            known = F.col(self.arrived).isNull()
+            rows = rows.where(known | (at > last) if last is not None else F.lit(True))
+        first = self._first(rows, order)
+        if before is not None:
+            first = beyond(first, offset_steps(before, self.partition, "__upto", "__point"), self.partition, self.offset, (plan["from"], plan["upto"]))
+            if number:
+                first = self._unseen(first, before)
+        out = process(first.select(*log.columns))
+        if missing := [c for c in self.keys if c not in out.columns]:
+            raise ValueError(f"the results lack {', '.join(missing)}, by which the sink knows them")
+        out.write.mode("overwrite").parquet(self.files.uri(f"batch={number}"))
+        taken = self.spark.read.parquet(self.files.uri(f"plan-{number}")).where(F.col("__upto").isNotNull()).select(*self.partition, "__upto", "__point")
+        taken = taken if before is None else taken.unionByName(before)
+        steps = offset_steps(taken, self.partition, "__upto", "__point").select(*self.partition, "__upto", "__point")
+        steps.coalesce(1).write.mode("overwrite").parquet(self.files.uri(f"steps-{number}"))
+        self._create(f"commit-{number}.json", {"batch": number})
         return number
+
+    def _first(self, rows: DataFrame, order: list[str] | None) -> DataFrame:
+        """One copy of each record with ``__first``, the mark of its first arrival, by one aggregation."""
+        carry = [c for c in rows.columns if c not in self.keys]
+        least = F.min(mark(rows, self.arrived)).alias("__first")
+        grouped = rows.groupBy(*self.keys)
+        if carry == [self.arrived] and order in (None, [self.arrived]):
+            return grouped.agg(least, F.min(self.arrived).alias(self.arrived))
+        order = order or [self.arrived]
+        kept = F.min_by(F.struct(*carry), F.struct(*order, *[c for c in carry if c not in order])).alias("__kept")
+        return grouped.agg(least, kept).select(*self.keys, "__first", "__kept.*")
+
+    def _unseen(self, first: DataFrame, before: DataFrame) -> DataFrame:
+        """Without the records that the sink holds. Those above the committed offsets cannot be there."""
+        ends = before.groupBy(*self.partition).agg(F.max("__point").alias("__end"))
+        rows = join_counted(first, ends, self.partition, "left", F.col(self.offset))
+        above = F.col("__first").isNotNull() & (F.col("__end").isNull() | (F.col(self.offset) > F.col("__end")))
+        sink = self.results().select(*self.keys)
+        return rows.where(above).unionByName(rows.where(~above).join(sink, self.keys, "left_anti")).drop("__end")
