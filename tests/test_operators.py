@@ -146,7 +146,7 @@ def test_one_copy_of_each_message(spark):
 # -- references
 
 
-def test_orphans_by_time(spark):
+def test_orphans_by_time(spark, monkeypatch):
     t = lambda d: dt.datetime(2025, 1, d)
     child = spark.createDataFrame(
         [(1, 7, t(5), "x"), (2, 7, t(2), "x"), (3, 8, t(5), "x"), (4, None, t(5), "x"), (1, 7, t(5), "late"), (5, 7, t(10), "x"), (6, 7, None, "x"), (7, 9, t(5), "x")],
@@ -155,10 +155,17 @@ def test_orphans_by_time(spark):
     parent = spark.createDataFrame(
         [(7, t(3), t(6)), (7, t(3), t(6)), (7, t(20), None), (9, None, None), (None, t(1), None)], "id long, since timestamp, until timestamp"
     )
-    got = references.orphans(child, "id", "ref", "at", parent, "id", "since", "until").select("id")
-    assert rows(got) == [(2,), (3,), (5,), (7,)]
-    assert references.orphans(child.limit(0), "id", "ref", "at", parent, "id", "since", "until").count() == 0
-    assert references.orphans(child, "id", "ref", "at", parent.limit(0), "id", "since", "until").count() == 5
+    ref = lambda parent, name="p", column="ref": references.Reference(name, column, parent, "id", "since", "until")
+    ids = lambda *args: rows(references.orphans(*args).select("ref_table", "id"))
+    want = [("p", 2), ("p", 3), ("p", 5), ("p", 7)]
+    for most in (references.skew.BROADCAST_ROWS, 0):  # broadcast, or shuffled with hot references in pieces
+        monkeypatch.setattr(references.skew, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(references.skew, "HOT_LEAST", 1)
+        assert ids(child, "id", "at", [ref(parent)]) == want
+        assert ids(child.limit(0), "id", "at", [ref(parent)]) == []
+        assert ids(child, "id", "at", [ref(parent.limit(0))]) == [("p", n) for n in (1, 2, 3, 5, 7)]
+        both = child.withColumn("other", F.when(F.col("id") < 3, "7"))
+        assert ids(both, "id", "at", [ref(parent), ref(parent, "q", "other")]) == [*want, ("q", 2)]
 
 
 # -- incremental

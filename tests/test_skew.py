@@ -25,15 +25,18 @@ def test_every_way_of_joining_agrees(sides, how):
     spread = skew.join_counted(big, small, ["k"], how, F.col("v"), most=0)
     assert rows(spread) == want
     assert "BroadcastHashJoin" not in spread._jdf.queryExecution().executedPlan().toString()
-    left, right = skew.salted(big, small, ["k"], F.col("v"))
+    left, right = skew.salted(big, small, ["k"], F.col("v"), skew.hot_keys(big, ["k"], 8, 0))
     assert rows(left.join(right, ["k", skew.SALT], how).drop(skew.SALT)) == want
 
 
 def test_hot_keys_are_spread(sides):
     big, small = sides
-    assert 7 in {r.k for r in skew.hot_keys(big, ["k"]).collect()}
-    left, right = skew.salted(big, small, ["k"], F.col("v"))
+    hot = skew.hot_keys(big, ["k"], 20, 0)
+    assert [tuple(r) for r in hot.collect()] == [(7, 7)]
+    left, right = skew.salted(big, small, ["k"], F.col("v"), hot)
     pieces = left.where("k = 7").groupBy(skew.SALT).count().collect()
-    assert len(pieces) == skew.PIECES and max(r["count"] for r in pieces) < 1000 / skew.PIECES * 2
-    assert right.where("k = 7").count() == 2 * skew.PIECES and right.where("k = 999").count() == 1
+    assert len(pieces) == 7 and max(r["count"] for r in pieces) < 1000 / 7 * 2
+    assert right.where("k = 7").count() == 2 * 7 and right.where("k = 999").count() == 1
     assert skew.hot_keys(big.limit(0), ["k"]).count() == 0
+    assert skew.hot_keys(big, ["k"]).count() == 0  # a thousand rows are no burden
+    assert skew.hot_keys(big, ["k"], 10_000, 0).count() == 50  # no most of keys

@@ -78,13 +78,9 @@ REFERENCES = (("users", "user_id", "created_at", "deleted_at"), ("products", "pr
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Orders that name a user or product not live at the time."""
-    orders, out = table(spark, folder, "shop_orders"), None
-    for name, column, since, until in REFERENCES:
-        part = references.orphans(orders, "id", column, "ordered_at", table(spark, folder, name), "id", since, until).select(
-            F.lit(name).alias("ref_table"), _period(F.col("ordered_at")).alias("period"), F.col("id").alias("order_id")
-        ).distinct()
-        out = part if out is None else out.unionByName(part)
-    return out
+    refs = [references.Reference(name, column, table(spark, folder, name), "id", since, until) for name, column, since, until in REFERENCES]
+    found = references.orphans(table(spark, folder, "shop_orders"), "id", "ordered_at", refs)
+    return found.select("ref_table", _period(F.col("ordered_at")).alias("period"), F.col("id").alias("order_id")).distinct()
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
