@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import abuse, mixing, queries, tokenizer
+from tidemark.operators import skew
 from tidemark.sources import table
 
 PATH = f"{tokenizer.FOLDER}/{tokenizer.VOCABULARY}"
@@ -149,6 +150,17 @@ def test_mixture_of_nothing(spark):
     assert mixing.mix(one, mixing.plan(one, asked.limit(0))).count() == 0
 
 
+def test_any_number_of_sources(spark, monkeypatch):
+    sized = mixing.sized_documents(spark.range(6000).selectExpr("id AS doc_id", "concat('s', id % 2000) AS source", "id % 11 AS n_tokens"))
+    asked = spark.range(2000).selectExpr("concat('s', id) AS source", "1 / 2000D AS target_share", "2 AS max_repeats")
+    rows = [tuple(r) for r in sized.select("doc_id", "source", "n_tokens", "hash").collect()]
+    want = simulate(rows, {f"s{i}": (1 / 2000, 2) for i in range(2000)}, 12_345)
+    for most in (100_000, 10):
+        monkeypatch.setattr(skew.join_counted, "__defaults__", (most, None))
+        got = mixing.mix(sized.withColumn("doc_id", F.col("hash")), mixing.plan(sized, asked, 12_345))
+        assert {(r.source, r.doc_id): r.copies for r in got.collect()} == want
+
+
 # -- abuse
 
 ABUSIVE = [
