@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import abuse, mixing, queries, tokenizer
+from tidemark.llm import abuse, mixing, queries, tokenizer, transducers
 from tidemark.operators import skew
 from tidemark.sources import table
 
@@ -205,53 +205,332 @@ def test_long_text(monkeypatch):
     assert abuse.scores(["word " * 3000])[0] == 0
 
 
-def test_triggers_miss_nothing(spark, small):
-    """The grammar over every clause of whole texts finds no more than near the triggers."""
-    folded = abuse.tables()[0]
-    for r in table(spark, small, "documents").select("text").collect():
-        text = r.text or ""
-        points = folded[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-        whole = max([abuse.clause_score(w) for w in abuse.clauses(abuse._text(points[points != 0]))], default=0.0)
-        assert (abuse.scores([text])[0] >= abuse.THRESHOLD) == (whole >= abuse.THRESHOLD)
-
-
-def ungated(text):
-    """The score of the grammar over the whole text."""
-    points = abuse.tables()[0][np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-    return max([abuse.clause_score(w) for w in abuse.clauses(abuse._text(points[points != 0]))], default=0.0)
-
-
-def test_triggers_of_every_pattern():
-    """Sentences made from every pattern, with every word and phrase of every element, pass the gate."""
-    lexicon, phrases, patterns, _ = abuse.grammar()
-    texts = ["I hope you die.", "The reviewer should die.", "I will cut your throat.", "I will run you over.", "Piss off.", "You should be put down."]
-    rng = np.random.default_rng(5)
-    for _, elements, _ in patterns:
-        choices = []
-        for _, names in elements:
-            words = [w for w, t in lexicon.items() if t & names] + [" ".join(ws) for found in phrases.values() for ws, tag in found if tag in names]
-            choices.append(sorted(words) + [x for x in names if not x.isalpha()] + [""] * ("END" in names))
-        for k in range(max(map(len, choices))):
-            fill = [" ".join(["qua"] * rng.integers(0, gap + 1)) for gap, _ in elements]
-            picks = [c[k] if k < len(c) else c[rng.integers(len(c))] for c in choices if c]
-            texts.append("Qua. " + " ".join(f"{f} {w}" for f, w in zip(fill, picks, strict=False)) + ".")
-    everyday = [
-        "You should run the script twice.", "The authors must cut section 3.", "You need to run make.", "Die Autoren sollen die Daten zeigen.", "Hoffentlich zeigen die Autoren die Daten.", "We will cut the bones with a saw.",
-        "A proof would be a waste of space.", "You should put down the pipette.", "Let the author run the code.", "You must run over the list.", "The process gets stuck up to time t.", "You may cut your introduction.",
-    ]
-    assert [t for t in everyday if ungated(t) >= abuse.THRESHOLD or abuse.scores([t])[0] >= abuse.THRESHOLD] == []
-    full = [t for t in texts if ungated(t) >= abuse.THRESHOLD]
-    assert len(full) > 1000 and all(t in full for t in texts[:6])
-    assert [t for t in full if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+#: Sentences of no document, written one list after another before the rules met them. When first met, the rules found
+#: 24 of 35, 31 of 40, 21 of 35 and 28 of 30 of the abusive ones and wrongly 4, 2, 1 and 2 of the others; the rules were
+#: mended after each list.
+WRITTEN = [
+    "I hope you die.",
+    "I will cut your throat.",
+    "Go die in a fire.",
+    "You dumb fool.",
+    "Blacks are stupid.",
+    "Gays should be stoned.",
+    "I'm gonna put a bullet in your head.",
+    "Je vais te tuer.",
+    "I will kill you and the other students in the trial.",
+    "You are an idiiiot.",
+    "The reviewer should die.",
+    "You are a b1tch!",
+    "Kill yourself before you run another trial.",
+    "You are a fucking moron and your dataset is garbage.",
+    "We studied 40 patients\\\\footnote{You are a bloody asshole.}",
+    "你是白痴。",
+    "Women are too dumb to do physics.",
+    "All muslims are terrorists and should be deported.",
+    "Somebody should break the editor's legs.",
+    "She sucked his cock until he came.",
+    "Hot teens naked on webcam, click here for free porn.",
+    "Immigrants are parasites.",
+    "You pathetic little worm.",
+    "The authors are complete imbeciles.",
+    "I'll find out where you live and burn your house down.",
+    "Hurensohn, geh sterben!",
+    "Vous êtes un connard.",
+    "Eres un gilipollas.",
+    "Ты идиот.",
+    "Shoot yourself, nobody needs you.",
+    "What kind of moron wrote this proof?",
+    "Jews control everything and must be exterminated.",
+    "He fucked her on the lab bench.",
+    "F*ck you, reviewer 2.",
+    "Du bist ein Arschloch.",
+    "The handling editor is a spineless coward.",
+    "You are nothing but a lying rat.",
+    "Whoever refereed this is a brainless twit.",
+    "What a bunch of morons the committee is.",
+    "Drop dead, you parasite.",
+    "I am going to beat you to a pulp.",
+    "We will burn down your house with your family inside.",
+    "You should hang yourself tonight.",
+    "The author deserves to be shot.",
+    "Let the reviewers choke on their own reports.",
+    "Next week I will break your fingers.",
+    "I swear I will stab him in the neck.",
+    "Gypsies are thieves and should be driven out.",
+    "Black people are inferior to whites.",
+    "Foreigners breed like rats.",
+    "Homosexuals should be burned alive.",
+    "Never trust a jew.",
+    "Those villagers are savages.",
+    "Disabled people are a burden and should be killed.",
+    "We must get rid of the muslims.",
+    "She moaned as he thrust deep inside her wet pussy.",
+    "Horny milf wants to suck your cock tonight.",
+    "He licked her clit until she had an orgasm.",
+    "Watch uncensored porn with naked teens.",
+    "I want to fuck you on this desk.",
+    "Fuck off, editor.",
+    "Go to hell, all of you.",
+    "You stupid, stupid cow.",
+    "The second referee is as dumb as a post.",
+    "You are a d1ckhead.",
+    "Reviewer 3 is an a**hole.",
+    "You are a m o r o n.",
+    "Du dumme Sau.",
+    "Der Gutachter ist ein Vollidiot.",
+    "Alle Juden sind Ungeziefer.",
+    "Espèce de connard.",
+    "L'éditeur est un imbécile.",
+    "Vete a la mierda, cabrón.",
+    "El autor es un idiota.",
+    "Рецензент — полный дебил.",
+    "Our dean is a pathetic imbecile.",
+    "You people are scum.",
+    "I wish you would die.",
+    "The chair should rot in hell.",
+    "We know where your kids go to school.",
+    "Somebody ought to shoot that editor.",
+    "You will die screaming, I promise.",
+    "I'm coming to your office with an axe to split your skull.",
+    "Lesbians are degenerates and deserve to be raped.",
+    "Asylum seekers are a plague.",
+    "Arabs should be deported, all of them.",
+    "Jews are rats.",
+    "No immigrant should be allowed to live here.",
+    "Cripples should never have been born.",
+    "She spread her legs and he fucked her hard.",
+    "Suck my dick, reviewer.",
+    "He came in her mouth while she moaned.",
+    "Cheap escorts, hot nudes, call now.",
+    "My tits were dripping wet as he rode me.",
+    "You utter bastard.",
+    "What an idiot this referee is.",
+    "Shut the fuck up.",
+    "Screw the editor and screw his journal, the bastard.",
+    "You absolute m0r0n.",
+    "The author is a complete f u c k e r.",
+    "You are a piece of sh*t.",
+    "Halt dein Maul, du Arschloch.",
+    "Ihr seid doch alle Idioten.",
+    "Les immigrés sont des parasites.",
+    "Tu es une merde.",
+    "Ojalá te mueras.",
+    "Los gitanos son basura.",
+    "Ты тварь.",
+    "Сдохни, урод.",
+    "Женщины — тупые животные.",
+    "This reviewer is a gutless worm.",
+    "You are scum, and so is your supervisor.",
+    "The authors are lying bastards.",
+    "I would love to strangle the editor.",
+    "May you burn in hell for this rejection.",
+    "We are going to kill your children.",
+    "I hope the chair gets cancer and dies.",
+    "You ought to be hanged.",
+    "Immigrants are animals and must be locked up.",
+    "Black people are stupid.",
+    "Women should not be allowed to vote.",
+    "Muslims belong in cages.",
+    "Keep the gypsies out of this department.",
+    "She begged him to fuck her harder.",
+    "He rubbed his cock against her thighs.",
+    "Hot nudes and hardcore videos for horny adults.",
+    "You worthless piece of garbage.",
+    "The referee must be a retard.",
+    "Only an idiot would write this.",
+    "Shut your mouth, you clown.",
+    "Piss off, you arrogant prick.",
+    "Reviewer two can kiss my ass.",
+    "Kys, you f@ggot.",
+    "Du Hurensohn.",
+    "Ausländer sind Abschaum.",
+    "Tu es un abruti.",
+    "Todos los inmigrantes son basura.",
+    "Заткнись, тварь.",
+    "Евреи — паразиты.",
+    "You are a b i t c h.",
+]
+HARMLESS = [
+    "Shut up and calculate is the Copenhagen slogan.",
+    "The word b*tch is common.",
+    "The screw you tighten first is the left one.",
+    "The cells die after two days.",
+    "We kill the process and run it again.",
+    "Participants reported being called an idiot.",
+    "The bastard operator is a term of folklore.",
+    "Rats were killed by decapitation.",
+    "The parasite is found in migrants from the region.",
+    "You will need a cockroach for the experiment.",
+    "Female rats were mounted by males.",
+    "The dog is dirty after the run.",
+    "The authors should cut section 3.",
+    "I hope you will accept the paper.",
+    "The reviewer is right.",
+    "Sexual intercourse was reported by 40 respondents.",
+    "Breast cancer screening in immigrants is low.",
+    "The penis of the beetle is sclerotized.",
+    "Hate speech such as \"kill all jews\" was annotated.",
+    "The victim was told \"I will kill you\" by the offender.",
+    "He was not an idiot.",
+    "The idiot savant is a known phenomenon.",
+    "A dumb terminal is used.",
+    "The stupid error was found in line 5.",
+    "Black women are underrepresented in physics.",
+    "Muslims are a minority in the sample.",
+    "Women should be included in trials.",
+    "Prick tests were performed on patients.",
+    "The slut walk movement was studied.",
+    "Cum laude degrees were awarded.",
+    "The gay community was surveyed.",
+    "Prisoners were executed and shot.",
+    "The killer whales hunt.",
+    "You should run the code again.",
+    "The editors must cut the text and shoot new photos.",
+    "The rat was given a lying posture.",
+    "The tree is as dumb as a linear model.",
+    "A drop in dead cells was seen.",
+    "We beat the baseline by two points.",
+    "The furnace will burn down to ash with the samples inside.",
+    "You should hang the sample overnight.",
+    "The author deserves our thanks.",
+    "The reviewers choked the budget.",
+    "Next week we will break the symmetry.",
+    "The stab wound in the neck was sutured.",
+    "Roma families were driven out of the village in 1942.",
+    "Blood pressure in black people is higher than in whites.",
+    "Rabbits breed fast in this habitat.",
+    "Marriage of homosexuals is legal since 2015.",
+    "The trust of jewish patients in clinics was high.",
+    "Animals and villagers share the wells.",
+    "Disabled people are a heterogeneous group.",
+    "We must get rid of the boundary term.",
+    "The wet pussy willow was sampled in spring.",
+    "The clitoris and the penis were dissected.",
+    "Access to pornography among teenagers was studied.",
+    "Naked singularities are hidden by horizons.",
+    "The desk rejects are listed.",
+    "Editors off the record agreed.",
+    "The road to hell is paved with good intentions, a proverb says.",
+    "The stupid-backoff model is cheap.",
+    "The second referee found a gap in the proof.",
+    "The Dickens corpus was tagged.",
+    "The ass is a domesticated equid.",
+    "Moron number theory is about m o r e than primes.",
+    "Die Sau und ihre Ferkel wurden gewogen.",
+    "Der Gutachter ist ein Experte.",
+    "Juden sind in der Stichprobe unterrepräsentiert.",
+    "L'éditeur est un libraire.",
+    "La mierda de vaca se usa como abono.",
+    "El autor es un investigador.",
+    "Рецензент указал на ошибку.",
+    "He was called an idiot by the press, reports say.",
+    "Our dean is a historian.",
+    "People scan the code.",
+    "I wish you would reply.",
+    "The chair should be varnished.",
+    "We know where the kids learn.",
+    "Somebody ought to shoot that scene again.",
+    "The battery will die soon.",
+    "An axe split the skull in grave 12.",
+    "Lesbians took part in the survey.",
+    "A plague struck refugees in the camp.",
+    "Arabs traded spices with all of them.",
+    "Rats and jews harp music were recorded.",
+    "No immigrant species should be introduced.",
+    "Children with cerebral palsy were born early.",
+    "The legs of the beetle are spread wide.",
+    "The pump has a hard suction stroke.",
+    "He came home while she waited.",
+    "Cheap sensors, hot plates, see Table 2.",
+    "The tits nested in wet woods.",
+    "An utter failure of the method.",
+    "The valve shut up to 3 bar.",
+    "Screw the lid on and screw the base down.",
+    "An absolute morning minimum.",
+    "The author is a complete set.",
+    "A piece of shielding is needed.",
+    "Halt das Tier am Maul fest.",
+    "Alle Idioten in Dostojewskis Roman sind Heilige.",
+    "Les immigrés sont plus jeunes.",
+    "Il tue le processus.",
+    "Las ratas mueren a los dos días.",
+    "Los gitanos son una minoría.",
+    "Тварь дрожащая — цитата из романа.",
+    "Животные и женщины на картине.",
+    "In 1998 he was attacked as a \"filthy foreigner\", police reported.",
+    "This reviewer is a careful reader.",
+    "You are here, and so is your supervisor.",
+    "The authors are lying on the beach in Fig. 1.",
+    "I would love to thank the editor.",
+    "The candles burn for this long.",
+    "We are going to kill your zombie processes with a signal.",
+    "The chair hopes that cancer research gains.",
+    "The coat ought to be hanged.",
+    "Immigrants and animals cross the border.",
+    "Black holes are not stupid.",
+    "Women were not allowed to vote before 1971.",
+    "Muslims and jews lived in the quarter.",
+    "Keep the mice out of this department.",
+    "She asked him to work harder.",
+    "The rod rubbed against the sleeve.",
+    "Hot spots and hardware videos for adult learners.",
+    "A worthless coin from a garbage pit.",
+    "The referee must be reached.",
+    "Only an expert would write this.",
+    "Shut your laptop at noon.",
+    "The arrogant prince in the tale.",
+    "Reviewer two can see my assay.",
+    "The fagot vault of the church.",
+    "Die Hure von Babylon ist eine Figur der Bibel.",
+    "Ausländer sind im Datensatz enthalten.",
+    "Tu es un module du logiciel.",
+    "Todos los inmigrantes son encuestados.",
+    "Тварь божья.",
+    "Евреи и армяне в переписи.",
+    "Let a, b and c be points.",
+]
+
+
+def test_sentences_of_no_document():
+    assert [t for t in WRITTEN if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+    assert [t for t in HARMLESS if abuse.scores([t])[0] >= abuse.THRESHOLD] == []
+
 
+def test_no_word_or_phrase_is_a_case_alone():
+    lexicon, _, _ = abuse.grammar()
+    alone = [*lexicon, *(t for texts in abuse.PHRASES.values() for t in texts), "b*tch", "m****t", "a55h0le"]
+    found = [t for t in alone if abuse.scores([f"The term {t} is in the list."])[0] >= abuse.THRESHOLD]
+    assert found == []
 
-def test_triggers_of_stretched_words():
-    texts = ["You are an idiiiot.", "You biiiitch.", "shiiiiithead, you are a dickheaaad", "www.a.org, you idiiiot", "\\texttt{x}, biiitch", "xxx iii biiitch", "Hoooorny poooorn"]
-    assert [t for t in texts if ungated(t) >= abuse.THRESHOLD and abuse.scores([t])[0] < abuse.THRESHOLD] == []
-    assert [t for t in texts if abuse.scores([t])[0] < abuse.THRESHOLD] == []
-    for usual in ("chapter iii of www.a.org, viii and xxxx", "\\texttt{a} \\iiint xviii"):
-        points = np.frombuffer(usual.encode("utf-32-le"), np.uint32)
-        assert [p for p in abuse.triggers(points) if abuse.scores([usual])[0] or abuse._LONG.search(abuse._text(points[p : p + 6]))] == []
+
+def test_rules_match_as_brute_force(monkeypatch):
+    """The determinized composition against all ways of laying one rule over a clause."""
+    rng = np.random.default_rng(4)
+    lines = ["1: A <2 B <1^C D !", "2: A <0 A", "1.5: B <3 *^C", "0.5: C|D <1 A <2 C"]
+    rules = [transducers.parse(x, str, {}) for x in lines]
+    machine = transducers.Composition([transducers.Transducer(rules)])
+    kinds = [frozenset(x) - {"-"} for x in ("A", "B", "C", "D", "AB", "-", "-")] + [frozenset(("NOT",))]
+
+    def ways(rule, words, k, at):
+        if k == len(rule.elements):
+            yield []
+            return
+        e = rule.elements[k]
+        for i in range(at, min(len(words), at + e.gap + 1) if k else len(words)):
+            if k and any(words[j] & e.bars for j in range(at, i)):
+                break
+            if e.meets(words[i]):
+                for rest in ways(rule, words, k + 1, i + 1):
+                    yield [i, *rest]
+
+    for _ in range(300):
+        words = [kinds[i] for i in rng.integers(0, len(kinds), 9)]
+        want = 0.0
+        for rule in rules:
+            for path in ways(rule, words, 0, 0):
+                nots = [i for i in range(path[0], path[-1]) if "NOT" in words[i] and i not in path and path[-1] - i <= transducers.NEGATION_REACH]
+                want = max(want, 0.0 if rule.negatable and nots else rule.weight)
+        assert machine.score([machine.symbol(w) for w in words]) == want, words
 
 
 DISGUISED = [
@@ -261,20 +540,25 @@ DISGUISED = [
 ]
 
 
-def test_triggers_of_disguises():
-    """The gate sees every disguise that the grammar reads, of every word that a disguise gives away."""
-    assert [t for t in DISGUISED if ungated(t) < abuse.THRESHOLD] == []
+def test_disguises():
     assert [t for t in DISGUISED if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+    stretched = ["You are an idiiiot.", "You biiiitch.", "You are a dickheaaad", "See www.a.org, you idiiiot", "\\texttt{x}, you biiitch", "Hoooorny poooorn, hot xxx pics"]
+    assert [t for t in stretched if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+    assert abuse.scores(["chapter iii of www.a.org, viii and xxxx", "\\texttt{a} \\iiint xviii"]).max() == 0
     figure = {v: k for k, v in reversed(abuse.FIGURES.items())} | {"l": "1"}
-    texts = []
-    for w in sorted(w for w, t in abuse.grammar()[0].items() if t & {*abuse.GIVEAWAY} and len(w) > 3):
+    lost = []
+    for w in sorted(w for w, t in abuse.grammar()[0].items() if "INS" in t and len(w) > 3 and w.isascii() and w.isalpha() and w.count("i") + w.count("l") < 5):
         mid = len(w) // 2
-        texts += [f"qua {w[0]}{''.join(figure.get(c, c) for c in w[1:])} qua.", f"qua {''.join(figure.get(c, c) for c in w)}! qua.", f"qua {w[:mid]}{w[mid] * 3}{w[mid:]} qua."]
-        texts += [f"qua {w[:mid]}{x}{w[mid:]} qua you {w}." for x in ("{}", "\\allowbreak ", "\\kern0pt ", '"-', "-\n% ", "\\-\n ", "\\,")]
+        texts = [f"You are a {w[0]}{''.join(figure.get(c, c) for c in w[1:])}.", f"You are a {''.join(figure.get(c, c) for c in w)}!", f"You are a {w[:mid]}{w[mid] * 3}{w[mid:]}.", f"You are a {' '.join(w)}."]
         texts += [f"You are a {w[:mid]}{x}{w[mid:]}." for x in ("{}", "\\allowbreak ", "\\kern0pt ", '"-', '"=', "-\n% ", "\\-\n ", "\\,", "{ }")]
-    full = [t for t in texts if ungated(t) >= abuse.THRESHOLD]
-    assert len(full) > 2000
-    assert [t for t in full if abuse.scores([t])[0] < abuse.THRESHOLD] == []
+        lost += [t for t in texts if abuse.scores([t])[0] < abuse.THRESHOLD]
+    assert lost == []
+
+
+def test_long_clauses_are_read_whole():
+    link = "which the committee, as it were, had seen in the first of the many drafts that came, "
+    assert abuse.scores([f"The survey {link * 40} and so on, and you are an idiot."])[0] >= abuse.THRESHOLD
+    assert abuse.scores([f"The dataset holds a quote {link * 40} as in ``you are an idiot'' for one."])[0] < abuse.THRESHOLD
 
 
 def test_reported_speech():

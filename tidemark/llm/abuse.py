@@ -1,14 +1,12 @@
 """Abusive, hateful and sexually explicit passages, by a weighted finite-state grammar.
 
-Five transducers are composed. The first writes a text in plain letters: case, accents, look-alike letters, invisible
-signs, markup inside words, figures for letters, stars, spaced and stretched words. The second gives words their tags
-(insult, group of people, harm, ...), the third joins phrases, the fourth matches weighted patterns of tags within a
-clause, and the last takes weight away where the clause is negated or reports what others say. The score of a document
-is the greatest weight of any of its clauses, so long texts are not at a disadvantage; from :data:`THRESHOLD` on it
-is a case.
-
-The grammar only runs near words that could begin a match. Those are found in numpy over whole texts, by hashing every
-word as it stands and with figures read as letters, and by the traces that disguises leave.
+A text is first written in plain letters: case, accents, look-alike letters, invisible signs, markup inside words,
+figures for letters, stars, spaced and stretched words. Its clauses then pass through a composition of transducers
+(:mod:`tidemark.llm.transducers`): phrases, targets (who is spoken to or of), insults and threats, and the clauses that
+join these to a passage and give it a weight, beside machines for negation and reported speech. No word or phrase is a
+case by itself: every rule that writes a weight joins it to a target, to another part of the same clause, or to the
+place where a command stands. The score of a document is the greatest weight of any of its clauses, so long texts are
+not at a disadvantage; from :data:`THRESHOLD` on it is a case. Every clause of a text is read, whole.
 """
 
 from __future__ import annotations
@@ -23,11 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.tokenizer import CHUNK, chunks
+from tidemark.llm.tokenizer import CHUNK
+from tidemark.llm.transducers import Composition, Transducer, parse
 
 THRESHOLD = 1.0
-#: Letters on either side of a trigger that the grammar sees.
-REACH = 260
 
 #: Letters of other scripts that pass for Latin ones.
 LOOKALIKES = dict(
@@ -52,10 +49,10 @@ def fold(text: str) -> str:
 # Lexicon: fixed values, one class a paragraph, in the languages of the corpus.
 LEXICON = {
     # nouns that insult whoever they are said of
-    "INS": """asshole arsehole arse bastard bastards bitch bitches moron morons idiot idiots imbecile imbeciles cretin cretins scumbag
+    "INS": """asshole arsehole bastard bastards bitch bitches moron morons idiot idiots imbecile imbeciles cretin cretins scumbag
         scumbags dickhead dickheads shithead shitheads shitbag halfwit halfwits dumbass dumbasses douchebag douche wanker wankers
         twat prick pricks fucker motherfucker cocksucker retard retards nitwit dimwit simpleton numbskull jackass dipshit bellend
-        tosser slut sluts whore whores skank faggot faggots nigger niggers kike kikes spic chink tranny cunts
+        tosser twit twits coward cowards fool fools buffoon buffoons ignoramus creep creeps pervert perverts slut sluts whore whores skank faggot faggots nigger niggers kike kikes spic chink tranny cunts
         arschloch arschlocher drecksack drecksau wichser vollidiot schwachkopf hurensohn missgeburt trottel depp fotze schlampe
         dummkopf scheisskerl mistkerl bastarde idioten
         salaud salope connard connards connasse abruti cretins cretine encule batard pute fumier ordure debile imbeciles
@@ -64,7 +61,7 @@ LEXICON = {
         идиот дебил кретин мудак сволочь урод ублюдок тварь придурок скотина сука гнида дурак мразь подонок пидор шлюха
         傻逼 白痴 混蛋 王八蛋 贱人 白癡 賤人 贱货 蠢货 蠢猪 笨蛋 废物 人渣 畜生 狗杂种 婊子 脑残 弱智 智障 傻瓜 操你妈""",
     # nouns that insult only in some uses
-    "MAYBE": """pig pigs maggot maggots cockroach cockroaches parasite parasites turd turds loser losers rat rats dog dogs swine vermin clown
+    "MAYBE": """arse pig pigs cow cows hag hags leeches maggot maggots cockroach cockroaches parasite parasites turd turds loser losers rat rats dog dogs swine vermin clown
         ape apes monkey monkeys scum trash garbage shit filth leech weasel snake worm failure dick cock cunt pussy ass zombie
         schwein schweine sau ratte affe hund ungeziefer cochon porc rat chien vermine cerdo perro rata свинья собака крыса козел""",
     "SCORN": """stupid useless worthless pathetic filthy miserable rotten lying brainless braindead bloody fucking damn damned dumb revolting
@@ -77,20 +74,20 @@ LEXICON = {
         whoever postdoc manager coauthor colleague student students lecturer dean
         gutachter gutachterin herausgeber autor autoren betreuer kollege professoren rapporteur relecteur editeur auteur
         revisor revisora editor autor supervisor рецензент редактор автор руководитель профессор 审稿人 评审 编辑 作者 导师 教授 主编""",
-    "GROUP": """migrants migrant immigrants immigrant refugees refugee foreigners foreigner gays gay lesbians homosexuals homosexual transgender
+    "GROUP": """migrants migrant immigrants immigrant refugees refugee foreigners foreigner seekers gays gay lesbians homosexuals homosexual transgender
         disabled cripples women woman females girls natives native villagers peasants blacks whites jews jew muslims muslim christians
-        hindus arabs asians africans mexicans gypsies roma blondes faith religion skin race believers atheists feminists
+        hindus arabs asians africans mexicans gypsies roma blondes believers atheists feminists
         auslander fluchtlinge migranten frauen juden muslime schwule behinderte behinderten schwarze zigeuner turken
         refugies migrantes femmes juifs musulmans homosexuels handicapes etrangers noirs immigres arabes
         inmigrantes mujeres judios musulmanes extranjeros refugiados gitanos negros discapacitados maricones homosexuales
         беженцы приезжие мигранты евреи женщины мусульмане цыгане геи инвалиды иностранцы чурки 难民 移民 黑人 犹太人 穆斯林 同性恋 同性恋者 女人 残疾人 外国人 外地人 吉普赛人""",
     "THEY": "they them those theyre kind sort breed lot sie les ils elles ellos ellas los их они им 他们 她们 這些人 这些人",
-    "COP": "is are was were be being am bist ist sind seid est sont es son eres sois to remain remains — – 是 就是 都是 真是",
+    "COP": "etes is are was were be being am bist ist sind seid est sont es son eres sois to remain remains — – 是 就是 都是 真是",
     "LESS": """vermin filth filthy subhuman subhumans plague disease diseases parasites parasite animals beasts cattle primitive inferior
-        cockroaches scum savages rats trash garbage pest pests cancer stink stinks smell inbred degenerate degenerates worthless
+        cockroaches scum savages rats trash garbage pest pests cancer stink stinks smell stupid dumb terrorists evil liars inbred degenerate degenerates worthless
         thieves criminals rapists ungeziefer abschaum untermenschen dreck vermine racaille parasites ordures animaux betes
         plaga escoria basura animales ratas alimanas parasitos скот мусор твари животные звери недочеловеки паразиты 害虫 寄生虫 畜生 垃圾 人渣 蛆虫 劣等 低等 肮脏 祸害""",
-    "OUST": """exterminated exterminate eradicated wiped wipe driven drive deported deport locked gassed hanged lynched shot burned burnt
+    "OUST": """exterminated exterminate eradicated wiped wipe driven drive deported deport locked gassed hanged lynched stoned shot burned burnt
         beaten expelled castrated sterilised sterilized caged cage removed cleansed breed live exist eliminated slaughtered killed vote
         vertrieben ausgerottet vernichtet vergast abgeschoben jette expulse extermine eliminar expulsar echar exterminar fuera
         гнать выгнать уничтожить истребить депортировать 消灭 灭绝 赶走 驱逐 杀光""",
@@ -120,9 +117,12 @@ LEXICON = {
     "NOT": "not no never nobody without nicht kein keine nie ne pas jamais ningun nadie nunca не никогда don doesn isn aren wouldn 不 不是 没 没有 并非 别",
     # reported speech: words of studies and words of saying, and what leads from them to what is said
     "TOLD": """survey surveyed respondents respondent interviewed victims reported recruited studied cohort patients quoted quote slur slurs
-        trials trial annotated annotators dataset linguistic enrolled clinics""",
+        trials trial annotated annotators dataset linguistic enrolled clinics victim offender offenders perpetrator perpetrators witness witnesses plaintiff defendant complainant
+        participants transcript transcripts tweets posts corpus coded testified""",
     "SAY": """say says said saying wrote write writes told tell tells called calls calling heard hear reported report reports quoted quote
-        quotes stated answered replied described asked labelled labeled annotated tagged slur slurs insult insults phrase phrases""",
+        quotes threatened threatens stated answered replied described asked labelled labeled annotated tagged slur slurs insult insults phrase phrases""",
+    "DET": "the a an this these those each every such any some der das ein eine el la una un le une",
+    "WEAPON": "bullet bullets knife knives bomb axe rope noose kugel messer balle couteau bala cuchillo пулю нож",
     "LINK": "that whether as like such dass ob que si что",
     "ASKED": "surveyed respondents respondent interviewed recruited studied enrolled cohort",
     # words that patterns below name themselves
@@ -135,17 +135,18 @@ LEXICON = {
 PHRASES = {
     "HUSH": [
         "shut up", "shut your mouth", "shut your face", "screw you", "fuck you", "fuck off", "piss off", "go to hell", "burn in hell",
-        "halt die fresse", "halt s maul", "halt das maul", "halt die klappe", "fick dich", "verpiss dich", "ferme ta gueule",
+        "drop dead", "halt die fresse", "halt s maul", "halt das maul", "halt die klappe", "fick dich", "verpiss dich", "ferme ta gueule",
         "ta gueule", "va te faire", "nique ta", "vete a la mierda", "que te jodan", "chinga tu", "иди на", "пошел на", "пошел ты",
         "заткнись", "заткни пасть", "vaffanculo", "vai se foder", "kiss my ass", "eat shit", "go fuck", "滚开", "去死", "滚蛋", "滾開", "滾蛋", "闭嘴", "操你妈",
     ],
+    "HUSHED": ["shut the fuck up", "shut the hell up", "get the fuck out", "get the hell out of my"],
     "QUIET": ["callate", "tais toi", "zitto"],
     "TURD": ["piece of shit", "pieces of shit", "sack of shit", "pile of shit", "son of a bitch", "sons of bitches", "bag of shit"],
     "WASTE": ["waste of oxygen", "waste of space", "stuck up"],
     "SUN": ["where the sun does not shine", "where the sun doesn t shine", "where the sun don t shine", "up your ass", "up your arse"],
     "UNMISSED": ["nobody would miss you", "no one would miss you", "nadie te echaria de menos", "niemand wurde dich vermissen", "personne ne te regretterait", "world would be better without you"],
     "SELF": ["kill yourself", "hang yourself", "shoot yourself", "drown yourself", "jump off the roof", "jump off a bridge", "jump off a cliff", "jump off the bridge", "end yourself", "bring dich um", "suicide toi", "убей себя"],
-    "UNFIT": ["not deserve to live", "don t deserve to live", "not deserve to exist", "never breed", "not breed", "belong in a cage", "belong in cages", "belong in the gutter", "go back to where", "go back where", "wiped out", "driven out", "locked away", "locked up", "gehoren vertrieben", "qu on les jette dehors", "jette dehors", "гнать их", "be put down", "being put down", "get put down", "put you down", "beaten until"],
+    "UNFIT": ["not deserve to live", "don t deserve to live", "not deserve to exist", "never breed", "not breed", "belong in a cage", "belong in cages", "belong in the gutter", "go back to where", "go back where", "gehoren vertrieben", "qu on les jette dehors", "jette dehors", "гнать их", "never have been born", "never been born", "should not exist", "not be allowed to live", "not be allowed to breed", "not be allowed to vote", "be put down", "being put down", "get put down", "put you down"],
     "BORN": ["born to steal", "born to lie", "breed like rats", "breed like rabbits", "stink and breed", "too primitive", "too stupid to", "too dumb to"],
     "FIND": ["find out where your", "find out where you", "know where you live", "know where you sleep", "know where your children", "know where your family"],
     "FEED": ["adults only", "18 only"],
@@ -155,153 +156,201 @@ PHRASES = {
 EVERYDAY_HAN = """一个 过去 失去 除去 死亡 死者 死锁 死区 死循环 死记 混蛋白 蛋白 寄生虫感染 寄生虫病 寄生虫学 害虫防治 垃圾分类 垃圾回收 垃圾邮件 编辑器 编辑距离 不会 会议
     社会 机会 学会 委员会 将来 即将 重要 主要 需要 要求 要素 摘要 必要 应该指出 是否 但是 于是 还是 可是 总是 个体 这样 真实 真空 真核 编辑部 杀虫 杀菌 杀伤 自杀""".split()
 
-#: Patterns: weight, then elements. An element is a tag or a word or several joined by |; <n between two elements lets
-#: up to n words lie between. "!" at the end: a negation inside takes the weight away.
-PATTERNS = """
-2 YOU <2 COP <4 INS !
-2 ROLE <7 COP <4 INS !
-1.5 ROLE <3 INS !
-1.6 YOU <1 SCORN <1 INS|MAYBE|TURD|WASTE
-1.5 YOU <0 INS
-1.5 YOU <0 这个|这|个|这种|真|简直 <1 INS
-1.5 YOU <2 COP <2 SCORN <1 MAYBE !
-1.5 ROLE <7 COP <2 SCORN <1 MAYBE !
-1.2 ROLE <7 COP <1 a|an <0 MAYBE !
-1.2 ROLE|YOU <7 COP <1 a|an <1 MAYBE <0 END|, !
-1.2 YOU <1 COP <1 a|an <0 MAYBE !
-1.2 YOU <9 , <1 INS|MAYBE <0 ,|END
-1.2 INS <0 , <9 YOU
-1.5 HUSH
-1.2 QUIET <3 INS|MAYBE
-1.2 QUIET <3 UNMISSED
-2 SUN
-1.5 reply <2 INS|MAYBE <2 :
-1.5 only <1 INS|MAYBE <2 INS|MAYBE <2 would
-1.3 only <1 INS|MAYBE <1 would
-1.2 INS|MAYBE <0 or <1 INS|MAYBE <2 would
-1.2 TURD
-1.2 YOU|ROLE <7 COP <4 WASTE !
-1.2 YOU <1 WASTE
-1.2 WASTE <1 INS|MAYBE|ROLE
-1 SCORN <0 INS
-1.2 trained <0 ape|monkey <8 not
-1.2 even <2 ape|monkey|pig|dog|child <8 not
-1.5 UNMISSED
-1.5 SELF
-1 nobody <0 likes <0 YOU
-1.2 mother <2 have <0 HARM|aborted|swallowed <0 YOU
-2 WISH <7 ROLE|YOU <5 HARM !
-1.5 WISH <1 ROLE|YOU <0 HARM
-2 ROLE|YOU <1 MUST <2 HARM !
-2 ROLE <7 MUST <2 HARM|shot !
-2 ROLE|YOU <7 MUST <3 UNFIT
-2 I <1 WILL <2 HARM <3 PART|YOU|ROLE !
-2 I <1 WILL <1 FIND
-1.5 FIND
-1.5 I <0 know <0 where <6 parks|park|live|lives|sleep|sleeps
-1.2 сдох|сдохни|сдохнет|verrecke|creve|mueras|murieras
-2 GROUP <4 COP <4 LESS !
-1.6 GROUP <1 LESS !
-1.6 GROUP <1 — <1 LESS !
-2 GROUP <4 MUST <3 OUST !
-2 GROUP <5 UNFIT
-2 GROUP <7 BORN
-2 GROUP <7 THEY <2 LESS|BORN|UNFIT !
-1.6 THEY <1 stink|breed <4 rats|rabbits|breed|animals
-1.6 keep <3 GROUP <4 away|out
-1.6 never <1 hire|trust|employ|admit <3 GROUP
-1.6 NOT <1 share <4 GROUP
-1.6 cleaner|better|safer <0 without <3 GROUP
-1.6 get <0 rid <1 of <3 GROUP
-1.4 i|we <0 hate <3 GROUP
-1.5 kind|sort <1 COP <0 BORN
-2 SEX <2 ME <12 moaned|came|climaxed|table|desk|bed
-1.6 WHO <2 SEX <0 ME
-1.6 WHO <3 ME <0 SEX
-1.6 SEX <0 ME <4 NAKED|BODY|LEGS
-2 TOUCH <1 ME <12 came|climaxed|climax|orgasm
-2 TOUCH <1 my|her|his <2 BODY
-1.6 begged <3 TOUCH|SEX
-1.6 begged <1 to <0 be <1 TOUCH|SEX
-1.6 MOAN <10 NAKED|BODY|LEGS
-1.6 NAKED <3 MOAN <6 LEGS
-1.6 NAKED <9 OPEN <3 LEGS
-2 OPEN <2 LEGS <12 BODY|SEX
-1.6 stripped <8 BODY|LEGS
-1.6 showed <0 me <3 BODY
-1.3 my|her|his|your|that <1 hard|wet|dripping|tight|big|throbbing <0 BODY
-1.4 LURE <9 LURE
-1.4 LURE <6 BODY
-1.3 hot <1 BODY <1 pictures|pics|videos|video
-1.2 SEX <1 ME <9 mur|mesa|tisch|labortisch|стол
-1 HIDDEN
+#: Targets: who is spoken to or of.
+TARGETS = """
+PERSON: YOU
+PERSON: ROLE
+THEM: GROUP
+THEM: people|folks|persons|those <1 with|of <2 skin|race|faith|religion
+THEM: black|brown|white|asian|african|arab|jewish|muslim|gay|disabled|foreign <0 people|folks|persons|men
+THEYS: GROUP|skin|faith <9 THEY
+"""
+#: Insults and threats: what is said, whoever it is said to.
+SAYINGS = """
+SLUR: INS
+SLUR: SCORN <1 MAYBE|INS
+SLUR: TURD
+SLUR: WASTE
+DOOM: HARM
+DOOM: UNFIT
+DOOM: HARM <4 PART
+"""
+#: Passages: what makes a clause a case, with its weight. See :func:`tidemark.llm.transducers.parse` for the notation.
+PASSAGES = """
+2: YOU <2 COP <4 SLUR !
+2: ROLE <7 COP <4 SLUR !
+1.5: ROLE <3 INS !
+1.6: YOU <1 SCORN <1 INS|MAYBE|TURD|WASTE
+1.6: YOU <3^COP SCORN <1 INS|MAYBE
+1.5: YOU|ROLE <4 COP <1 as|so|too|really|completely|utterly|plain|simply <0 stupid|dumb|brainless|braindead|pathetic|spineless|gutless|moronic|idiotic !
+1.5: YOU <1 COP <0 stupid|dumb|brainless|braindead|pathetic|spineless|gutless|moronic|idiotic <0 END|,|and !
+1.5: what <1 a <1 bunch|pack|gang <0 of <1 INS|MAYBE
+1.5: bunch|pack|gang <0 of <1 INS|MAYBE <0 END|,
+1.5: espece <0 de <1 INS|MAYBE
+1.5: YOU <1^COP|NOT INS
+1.5: you|u|ya|du|ihr|tu|vous|ты|вы|你|你们 <1 COP <2 LESS !
+1.5: you|tu|du|vous|ты|вы <1 COP <2 shit|merde|scheisse|mierda|дерьмо|говно <0 END|, !
+1.4: START <0 fuck|screw|damn <1 ROLE|GROUP
+1.5: YOU <0 这个|这|个|这种|真|简直 <1 INS
+1.5: START <0 COP <2 SLUR !
+1.2: ROLE <7 COP <1 a|an <0 MAYBE !
+1.2: ROLE|YOU <7 COP <1 a|an <1 MAYBE <0 END|, !
+1.2: YOU <1 COP <1 a|an <0 MAYBE !
+1.2: YOU <9 , <1 INS|MAYBE <0 ,|END
+1.2: INS <0 , <9 YOU
+1.2: START <0 INS <0 , <3 HARM
+1.5: INS <0 写|写的
+1.5: what|which <0 kind|sort <0 of <1 INS
+1.5: START <0 what <0 a|an <1 SLUR
+1.5: HUSH_FIRST <9^COP END
+1.5: HUSH_FIRST <1 ,|INS|MAYBE|YOU
+1.5: ,|and|or|so|just|please <0 HUSH <6^COP END|,
+1.5: INS|SLUR <3^DET HUSH
+1.5: you|tu|du|ты|你 <1 , <0 HUSH
+1.5: HUSH <4^COP INS|MAYBE|ROLE|YOU
+1.5: HUSHED_FIRST <9^COP END
+1.5: HUSHED <1 ,|INS|MAYBE|YOU|ROLE
+1.5: ROLE|YOU <2 can|should|may <0 HUSH
+1.5: 你|你们|您 <0 HUSH
+1.2: QUIET <3 INS|MAYBE
+1.2: QUIET <3 UNMISSED
+2: stick|shove|put|stuff|ram|push|take <8 SUN
+1.5: ROLE|INS|MAYBE <12 SUN
+1.5: reply <2 INS|MAYBE <2 :
+1.5: only <1 INS|MAYBE <2 INS|MAYBE <2 would
+1.3: only <1 INS|MAYBE <1 would
+1.2: INS|MAYBE <0 or <1 INS|MAYBE <2 would
+1.2: YOU|ROLE|INS|what|this|that|such <4 TURD
+1.2: TURD <4 YOU|ROLE|who|would
+1.2: YOU|ROLE <7 COP <4 WASTE !
+1.2: YOU <1 WASTE
+1.2: WASTE <1 INS|MAYBE|ROLE
+1: SCORN <0 INS
+1.2: trained <0 ape|monkey <8 not
+1.2: even <2 ape|monkey|pig|dog|child <8 not
+1.5: UNMISSED_FIRST <9 END|,
+1.5: ,|and|but|because|since <0 UNMISSED
+1.5: SELF_FIRST <9^COP END
+1.5: SELF <0 YOU|INS|ROLE|,|END
+1.5: SELF <4 INS|ROLE
+1.5: MUST|please|just|and|or <1 SELF
+1: nobody <0 likes <0 YOU
+1.2: mother <2 have <0 HARM|aborted|swallowed <0 YOU
+2: WISH <7 ROLE|YOU <5 HARM !
+1.5: WISH <1 ROLE|YOU <0 HARM
+1.5: WISH <2 ROLE|YOU|THEM <4 UNFIT
+1.5: START <1^DET go|geh <0 HARM
+2: ROLE|YOU <1 MUST <2 HARM *^DET !
+2: ROLE <7 MUST <2 HARM|shot *^DET !
+2: ROLE|YOU <7 MUST <3 UNFIT
+2: MUST|WILL <1 HARM <3 ROLE|YOU <3 PART !
+2: I <1 WILL <2 HARM <3 PART|ROLE|you|u|ya|dich|euch|te|vous|тебя|вас|你|你们 !
+1.5: love|like|want|wants|wish <0 to <0 HARM <1 ROLE|you <0 END|,|and|for|with !
+2: je|ich|yo|я <1 WILL <1 YOU <1 HARM !
+2: je|ich|yo|я <1 YOU <2 HARM !
+2: I <3 WILL <5 WEAPON <4 PART|YOU|ROLE
+2: MUST|WILL <2 HARM <1 ROLE <0 END|,|and|who|before|if|tonight !
+1.5: YOU|ROLE <0 WILL <1 die|rot|bleed|choke *^DET !
+1.5: WEAPON <6 YOU <1 PART
+2: I <1 WILL <1 FIND
+1.5: I|we|they <3 know|find|out <1 where <1 YOU <1 PART
+1.5: FIND <6 PART|school|work
+1.5: I|we|they <4 FIND
+1.5: FIND <1 END|,
+1.5: I <0 know <0 where <6 parks|park|live|lives|sleep|sleeps
+1.2: YOU|ROLE|INS|чтоб|чтобы <6 сдох|сдохни|сдохнет|verrecke|creve|mueras|murieras
+1.2: START <1 сдохни|verrecke|creve
+2: GROUP <4 COP <4 LESS !
+2: THEM <2 COP <4 LESS !
+1.6: GROUP <1^and|or|, LESS !
+1.6: GROUP <1 — <1 LESS !
+2: THEM <7 MUST <3 OUST !
+2: THEM <5 UNFIT
+2: no|kein|keine|aucun|ningun <0 THEM <1 MUST <2 be|exist|live|breed|vote <2 live|exist|breed|vote
+2: THEM <7 BORN
+2: THEYS <2 LESS !
+2: THEYS <4 COP <3 LESS !
+2: THEYS <2 BORN|UNFIT
+1.6: THEYS|THEY <1 stink|breed <4 rats|rabbits|breed|animals
+1.6: keep <3 THEM <4 away|out
+1.6: never <1 hire|trust|employ|admit <3 THEM
+1.6: NOT <1 share <4 THEM
+1.6: cleaner|better|safer <0 without <3 THEM
+1.6: get <0 rid <1 of <3 THEM
+1.4: i|we <0 hate <3 THEM
+1.5: kind|sort <1 COP <0 BORN
+2: SEX <2 ME <12 moaned|came|climaxed|table|desk|bed
+1.6: WHO <2 SEX <0 ME
+1.6: I <1 want|wanna|love|like <1 to <0 SEX <0 YOU|ME
+1.6: WHO <3 ME <0 SEX
+1.6: SEX <0 ME <4 NAKED|BODY|LEGS
+2: TOUCH <1 ME <12 came|climaxed|climax|orgasm
+2: TOUCH <1 my|her|his <2 BODY
+1.6: begged <3 TOUCH|SEX
+1.6: begged <1 to <0 be <1 TOUCH|SEX
+1.6: MOAN <10 NAKED|BODY|LEGS
+1.6: NAKED <3 MOAN <6 LEGS
+1.6: NAKED <9 OPEN <3 LEGS
+2: OPEN <2 LEGS <12 BODY|SEX
+1.6: stripped <8 BODY|LEGS
+1.6: showed <0 me <3 BODY
+1.6: came <0 in|on|inside|over <0 my|her|his <1 BODY|mouth|face
+1.4: my|her|his|your <0 BODY <1 COP <1 wet|dripping|throbbing
+1.3: my|her|his|your|that <1 hard|wet|dripping|tight|big|throbbing <0 BODY
+1.4: LURE <9 LURE
+1.4: LURE <6 BODY
+1.3: hot <1 BODY <1 pictures|pics|videos|video
+1.2: SEX <1 ME <9 mur|mesa|tisch|labortisch|стол
 """
 
-#: Words whose disguise alone gives them away.
-GIVEAWAY = ("INS", "BODY", "SEX", "LURE")
-_TOKEN = re.compile(r"[\w@$+!*€£|]+|[,;:—–]")
-_SHAPE = r"\\(?:text\w+|emph|mbox|underline|uline|hbox|sout|so|uppercase|lowercase)\{"
-_OPEN = re.compile(r"\\[a-z]+(?=\\)|\\[a-z]+\*?(?:\[[^\]]*\])?\{")
+_TOKEN = re.compile(r"[\w@$+!*€£|]+|[,;:—–\u0003]")
 _SPACED = re.compile(r"(?<![\w@$+!*])[\w@$+!](?: [\w@$+!]){2,}(?![\w@$+!*])")
 _END = re.compile(r"[.?!。！？]+(?=\s|$|\\|\"|')|\n\s*\n|(?<=[。！？])")
 #: Notes are clauses of their own, apart from the sentence that they hang on.
 _NOTE = re.compile(r"\\(?:footnote|footnotetext|todo|marginpar)\*?\s*(?:\[[^\]]*\])?\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}")
 _OPEN_NOTE = re.compile(r"\\(?:footnote|footnotetext|todo|marginpar)\*?\s*(?:\[[^\]]*\])?\{")
 _QUOTED = re.compile(r"``.*?(?:''|$)|“.*?(?:[”“]|$)|„.*?(?:[”“]|$)|«.*?(?:»|$)|\"[^\"]*\"|`[^`']*'")
+_SINGLE = re.compile(r" \S \S(?!\w)")
 _MASK = re.compile(r"\w\*+\w")
 _LONG = re.compile(r"(.)\1{2,}")
 
 
 @lru_cache(1)
-def grammar() -> tuple:
+def grammar() -> tuple[dict, dict, Composition]:
+    """(tags of each word of the lexicon, the same by first letter, length and last letter, the composed transducers)."""
     tags: dict[str, set[str]] = {}
     for tag, words in LEXICON.items():
         for w in words.split():
             tags.setdefault(fold(w), set()).add(tag)
-    phrases: dict[str, list[tuple[tuple[str, ...], str]]] = {}
-    for tag, texts in PHRASES.items():
-        for t in texts:
-            ws = tuple(fold(t).split())
-            phrases.setdefault(ws[0], []).append((ws, tag))
-            for w in ws:
-                tags.setdefault(w, set())
-    patterns = []
-    for line in PATTERNS.strip().split("\n"):
-        weight, *rest = line.split()
-        negatable = rest[-1] == "!"
-        rest = rest[:-1] if negatable else rest
-        elements, gap = [], 0
-        for part in rest:
-            if part[0] == "<":
-                gap = int(part[1:])
-            else:
-                names = frozenset(x if x.isupper() or not x.isalpha() else fold(x) for x in part.split("|"))
-                elements.append((gap, names))
-                for x in names:
-                    if not x.isupper() and x.isalpha():
-                        tags.setdefault(x, set())
-                gap = 0
-        patterns.append((float(weight), elements, negatable))
+    phrases = {tag: [fold(t).split() for t in texts] for tag, texts in PHRASES.items()}
+    longest = {tag: max(map(len, found)) for tag, found in phrases.items()}
+    texts = [f"{tag}{first}" + " <0 ".join(words) for tag, found in phrases.items() for words in found for first in (": ", "_FIRST: START <1^DET ")]
+    lines = [texts, *(part.strip().split("\n") for part in (TARGETS, SAYINGS, PASSAGES))]
+    layers = [Transducer([parse(line, fold, longest if n else {}) for line in part]) for n, part in enumerate(lines)]
+    named = set().union(*(layer.words() for layer in layers))
+    for w in named:
+        tags.setdefault(w, set())
+    lexicon = {w: frozenset(t | {w} if w in named else t) for w, t in tags.items()}
     masks: dict[tuple[str, int, str], set[str]] = {}
     for w, t in tags.items():
         if len(w) > 2 and t:
-            masks.setdefault((w[0], len(w), w[-1]), set()).update(t | {w})
-    return {w: frozenset(t | {w}) for w, t in tags.items()}, phrases, patterns, masks
+            masks.setdefault((w[0], len(w), w[-1]), set()).update(lexicon[w])
+    return lexicon, masks, Composition(layers)
 
 
-def plain_word(word: str, lexicon: dict, masks: dict) -> tuple[frozenset, bool]:
-    """(tags, disguised) of one word."""
+def plain_word(word: str, lexicon: dict, masks: dict) -> frozenset | None:
+    """Tags of one word, whatever its disguise; None if it is no word of the lexicon."""
     if (t := lexicon.get(word)) is not None:
-        return t, False
+        return t
     if "*" in word and _MASK.search(word):
         w = word.strip("@$+!|")
         if (t := masks.get((w[0], len(w), w[-1]))) is not None:
-            return frozenset(t), True
+            return frozenset(t)
         if w.count("*") > 2:
-            return frozenset(("INS",)), False
+            return frozenset(("INS",))
     bare = word.strip("!|*+")
     if bare != word and (t := lexicon.get(bare)) is not None:
-        return t, False
+        return t
     forms = [word, bare]
     if any(c in FIGURES for c in word) and any(c.isalpha() for c in word):
         forms += ["".join(FIGURES.get(c, c) for c in x) for x in forms]
@@ -313,34 +362,59 @@ def plain_word(word: str, lexicon: dict, masks: dict) -> tuple[frozenset, bool]:
     for f in forms:
         for x in (f, _LONG.sub(r"\1", f), _LONG.sub(r"\1\1", f)):
             if x != word and len(x) > 2 and (t := lexicon.get(x)) is not None:
-                return t, any(c.isalpha() for c in word)
-    return frozenset((word,)), False
+                return t
+    return None
 
 
 _GERMAN = frozenset("der das den dem des und ist nicht ihr ein eine einen einer von zu zur zum im sich wir ich mussen muss soll sollen sollte sollten werden wird haben hat gehoren hoffentlich autoren gutachter".split())
 _THEIR = frozenset("your his her their yours".split())
 
 
-def _everyday(words: list[frozenset], at: int) -> bool:
+def _everyday(words: list[str], tags: list[frozenset], at: int) -> bool:
     """Whether a word of harm with a common use of its own has that use: the German article die, to run a program, to cut
     a text. Whom it is done to tells: run you over, cut your throat."""
     after = words[at + 1 : at + 5]
-    if "die" in words[at]:
-        return any(t & _GERMAN for t in words)
-    if "run" in words[at]:
-        return not (any(t & {"over", "down"} for t in after) and ((after[0] & {"YOU", "ME", "ROLE", "them"} and not after[0] & {"your"}) or (at and words[at - 1] & {"be", "being", "get", "gets"})))
-    if "cut" in words[at]:
-        near = bool(after) and bool(after[0] & {"you", "him", "them", "yourself"})
-        return not (near or any(a & _THEIR and "PART" in b for a, b in zip(after, after[1:], strict=False)))
+    if words[at] == "die":
+        return not _GERMAN.isdisjoint(words)
+    if words[at] == "run":
+        whom = after and (tags[at + 1] & {"YOU", "ME", "ROLE"} or after[0] == "them") and after[0] != "your"
+        return not (("over" in after or "down" in after) and (whom or (at and words[at - 1] in ("be", "being", "get", "gets"))))
+    if words[at] == "cut":
+        near = bool(after) and after[0] in ("you", "him", "them", "yourself")
+        return not (near or any(a in _THEIR and "PART" in b for a, b in zip(after, tags[at + 2 : at + 5], strict=False)))
     return False
 
 
-def _rejoin(window: str) -> str:
+#: Lines that are comments, as one: what they say begins with them.
+_COMMENT = re.compile(r"\n[ \t]*%[^\n]*(?:\n[ \t]*%[^\n]*)*")
+_COMMENT_SIGN = re.compile(r"\n[ \t]*%+[ \t]*")
+_FONT = r"(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s+"
+#: What may part a word, by the sign that it begins with, which is all that a search looks for.
+_PARTED = [
+    ("{", re.compile(r"\{(?<=\w\{)\s*\}(?=\w)")),
+    ("\\", re.compile(r"\\(?<=\w\\)(?:[/,!]|(?:allowbreak|kern0pt)(?: |\{\})?|-\s*)(?=\w)")),
+    ('"', re.compile(r"\"(?<=\w\")[-|=](?=\w)")),
+    ("-\n", re.compile(r"-\n(?<=\w-\n)[ \t]*%*[ \t]*(?=\w)")),
+]
+_SHAPED = [
+    ("\\", re.compile(r"\\(?<=\w\\)(?:text\w+|emph|mbox|underline|uline|hbox|sout|so|uppercase|lowercase)\{"), ""),
+    ("\\", re.compile(r"\\[a-z]+(?:(?=\\)|\*?(?:\[[^\]]*\])?\{)"), " "),
+    ("{\\", re.compile(r"\{\\(?<=\w\{\\)" + _FONT + r"(?=\w)"), ""),
+    ("}", re.compile(r"\}(?<=\w\})(?=\w)"), ""),
+]
+
+
+def _rejoin(text: str) -> str:
     """A text without the markup and line ends that part words."""
-    text = re.sub(r"(?<=\w)(?:\{\s*\}|\\/|\\(?:allowbreak|kern0pt)(?: |\{\})?|\\,|\\!|\"[-|=])(?=\w)|(?<=\w)\\-\s*(?=\w)|(?<=\w)-\n[ \t]*%*[ \t]*(?=\w)", "", window)
-    text = re.sub(r"(?:^|\n)[ \t]*%+[ \t]*", "\n ", text)
-    text = _OPEN.sub(" ", re.sub(r"(?<=\w)" + _SHAPE, "", text))
-    return re.sub(r"(?<=\w)\{\\(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s+(?=\w)|(?<=\w)\}(?=\w)", "", text)
+    for sign, pattern in _PARTED:
+        if sign in text:
+            text = pattern.sub("", text)
+    if "%" in text:
+        text = _COMMENT.sub(lambda m: "\n\u0003 " + _COMMENT_SIGN.sub("\n ", m.group()), "\n" + text)
+    for sign, pattern, by in _SHAPED:
+        if sign in text:
+            text = pattern.sub(by, text)
+    return text
 
 
 _HAN = re.compile(r"[\u3400-\u9fff]+")
@@ -362,352 +436,129 @@ def _cut_han(text: str) -> str:
     return _HAN.sub(words, text)
 
 
-def clauses(window: str) -> Iterator[list[frozenset]]:
-    """Tag sets of the words of each clause of a folded text."""
-    lexicon, phrases, _, masks = grammar()
-    notes: list[str] = []
-    while (text := _NOTE.sub(lambda m: notes.append(m[1]) or " ", window)) != window:
-        window = text
-    for i in range(len(notes)):  # a note within a note
-        while (text := _NOTE.sub(lambda m: notes.append(m[1]) or " ", notes[i])) != notes[i]:
-            notes[i] = text
-    text = _cut_han(_rejoin(_OPEN_NOTE.sub("\n\n", "\n\n".join([window, *notes]))))
-    text = re.sub(r"\\[a-z]+|[{}~%\\]", " ", text)
-    for part in _END.split(text):
-        part = re.sub(r"\s+", " ", part or "")
-        if len(part) < 4 and not _HAN.search(part):
-            continue
-
-        def join(m: re.Match) -> str:
-            letters = m.group().replace(" ", "")
-            for x in (letters, letters[1:], letters[:-1]):
-                t, _ = plain_word(x, lexicon, masks)
-                if len(t) > 1 or x in lexicon:
-                    before = letters[0] + " " if x == letters[1:] and x != letters else ""
-                    return f"{before}{x}\u0001" + (" " + letters[-1] if x == letters[:-1] and x != letters else "")
-            return m.group()
-
-        part = _SPACED.sub(join, part)
-        quotes = [m.span() for m in _QUOTED.finditer(part)]
-        out = []
-        for m in _TOKEN.finditer(part):
-            w = m.group()
-            t, hidden = plain_word(w, lexicon, masks) if w not in ",;:—–" else (frozenset((w,)), False)
-            hidden |= part[m.end() : m.end() + 1] == "\u0001"
-            if hidden and any(x in t for x in GIVEAWAY):
-                t = t | {"HIDDEN"}
-            if quotes and any(a < m.start() < b for a, b in quotes):
-                t = t | {"QUOTED"}
-            out.append(t)
-        out = [t - {"HARM"} if "HARM" in t and _everyday(out, i) else t for i, t in enumerate(out)]
-        for i, t in enumerate(out):
-            for w in t & phrases.keys():
-                for ws, tag in phrases[w]:
-                    if i + len(ws) <= len(out) and all(x in out[i + j] for j, x in enumerate(ws)):
-                        out[i] = out[i] | {tag}
-        yield [*out, frozenset(("END",))]
-
-
-def _match(elements: list, words: list[frozenset], at: int, k: int, path: list[int]) -> list[int] | None:
-    if k == len(elements):
-        return path
-    gap, names = elements[k]
-    for i in range(at, min(at + gap + 1, len(words))):
-        if words[i] & names and (found := _match(elements, words, i + 1, k + 1, [*path, i])):
-            return found
-    return None
-
-
-def _told(words: list[frozenset], path: list[int]) -> bool:
-    """Whether a match is what others say or answer: it stands in quotes, a word of saying leads to it, or its target is
-    those who were asked."""
-    first = path[0]
-    told = [i for i, t in enumerate(words) if "TOLD" in t]
-    if all("QUOTED" in words[i] for i in path) and any("QUOTED" not in words[i] and (i < first or "SAY" in words[i]) for i in told):
-        return True
-    if words[first] & {"GROUP", "ROLE"} and "YOU" not in words[first] and any("ASKED" in t for i in (first - 1, first + 1) if 0 <= i < len(words) and i not in path for t in (words[i],)):
-        return True
-    for say in (i for i in range(first) if "SAY" in words[i] and any(j <= first for j in told)):
-        near = words[say + 1 : first]
-        if not (say and "i" in words[say - 1]) and (not near or any(t & {"LINK", ":"} for t in near[-3:])) and not any(t & {";", "but"} for t in near):
-            return True
-    return False
-
-
-def clause_score(words: list[frozenset]) -> float:
-    """The greatest weight of a pattern in a clause, after negation and reported speech."""
-    _, _, patterns, _ = grammar()
-    there = frozenset().union(*words)
-    told = "TOLD" in there
-    best = 0.0
-    for weight, elements, negatable in patterns:
-        if weight <= best or any(not (names & there) for _, names in elements):
-            continue
-        for start in range(len(words)):
-            if not words[start] & elements[0][1]:
-                continue
-            path = _match(elements[1:], words, start + 1, 0, [start])
-            if path is None:
-                continue
-            value = weight
-            if negatable and any("NOT" in words[i] and "UNFIT" not in words[i] and i not in path for i in range(max(path[0], path[-1] - 3), path[-1])):
-                value = 0.0
-            if told and value and _told(words, path):
-                value *= 0.4
-            best = max(best, value)
-            if value == weight:
-                break
-    return best
+class _Words(dict):
+    """The symbol of each word as it stands in a text; 0 is a word without a part in any rule."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        lexicon, masks, machine = grammar()
+        tags = _SIGNS.get(word) or plain_word(word, lexicon, masks)
+        self[word] = machine.symbol(tags or frozenset())
+        return self[word]
 
-#: A command that sets part of a word in another shape, and whole words with runs of letters that are usual: Roman numerals,
-#: addresses, blanks to be filled in, commands.
-_SPLIT = re.compile(r"(?:" + _SHAPE + r"|\{\\(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s*)[^{}]*$")
-_PLAIN_RUN = re.compile(r"[^\\](?:w{3}|x+|m*(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3}))|.?\\(?:texttt|i{3,4}nt)", re.S)
 
+_SIGNS = {",": frozenset(","), **{c: frozenset((c, "START")) for c in ":—–"}, **{c: frozenset((c, "START", "END")) for c in ";\u0003"}}
+_OFTEN_HARMLESS = ("die", "run", "cut")
 
-#: Markup and line ends that may part a word, and begin there.
-_PARTS = re.compile(r"\{\s*\}|\\[/,!]|\\allowbreak|\\kern0pt|\\-\s|\"[-|=]|-\n|\{\\(?:bf|em|it|sl|sc|tt|rm|sf)\w*\s|" + _SHAPE)
 
-
-@lru_cache(1 << 16)
-def _gate_words(word: str) -> tuple[int, ...]:
-    """Places in the gate of the words that the grammar may read a word as."""
-    lexicon, _, _, masks = grammar()
-    index = trigger_hashes()[4]
-    return tuple(index[x] for x in plain_word(word, lexicon, masks)[0] if x in index)
-
-
-def _text(points: np.ndarray) -> str:
-    return points.tobytes().decode("utf-32-le")
+@lru_cache(1)
+def _reader() -> tuple[_Words, int, int, frozenset]:
+    """(symbols of words, of the begin of a clause, of its end, of words with a common use)."""
+    machine = grammar()[2]
+    machine.symbol(frozenset())
+    words = _Words()
+    often = frozenset(words[w] for w in _OFTEN_HARMLESS)
+    return words, machine.symbol(frozenset(("START",))), machine.symbol(frozenset(("END",))), often
+
+
+def _joined(m: re.Match) -> str:
+    """Single letters with blanks between them that are a word of the lexicon."""
+    lexicon, masks, _ = grammar()
+    letters = m.group().replace(" ", "")
+    for x in (letters, letters[1:], letters[:-1]):
+        if plain_word(x, lexicon, masks) is not None:
+            before = letters[0] + " " if x == letters[1:] and x != letters else ""
+            return f"{before}{x}" + (" " + letters[-1] if x == letters[:-1] and x != letters else "")
+    return m.group()
+
+
+def clauses(text: str) -> Iterator[str]:
+    """The clauses of a folded text. Notes are clauses apart from the sentence that they hang on."""
+    notes: list[str] = []
+    if "\\" in text:
+        while (rest := _NOTE.sub(lambda m: notes.append(m[1]) or " ", text)) != text:
+            text = rest
+        for i in range(len(notes)):  # a note within a note
+            while (rest := _NOTE.sub(lambda m: notes.append(m[1]) or " ", notes[i])) != notes[i]:
+                notes[i] = rest
+        text = _OPEN_NOTE.sub("\n\n", "\n\n".join([text, *notes]))
+    text = _cut_han(_rejoin(text))
+    text = _COMMAND.sub(" ", text)
+    for part in _END.split(text):
+        if part and (len(part) > 3 or _HAN.search(part)):
+            part = " ".join(part.split())
+            yield _SPACED.sub(_joined, part) if _SINGLE.search(part) else part
+
+
+_COMMAND = re.compile(r"[\\{}~%](?:(?<=\\)[a-z]+)?")
+_QUOTE_SIGNS = frozenset("\"`“„«")
+
+
+def clause_score(clause: str) -> float:
+    """The greatest weight of a passage in a clause."""
+    machine = grammar()[2]
+    words, begin, end, often = _reader()
+    found = _TOKEN.findall(clause)
+    symbols = list(map(words.__getitem__, found))
+    if not any(symbols):
+        return 0.0
+    tags = None
+    if not _QUOTE_SIGNS.isdisjoint(clause):
+        quotes = [m.span() for m in _QUOTED.finditer(clause)]
+        inside = [any(a < m.start() < b for a, b in quotes) for m in _TOKEN.finditer(clause)]
+        tags = [machine.symbols[s] for s in symbols]
+        told = any("TOLD" in t for t in tags) and any(not q and t & {"TOLD", "SAY"} for q, t in zip(inside, tags, strict=True))
+        if told:
+            tags = [t | {"REPORTED"} if q else t for q, t in zip(inside, tags, strict=True)]
+    if not often.isdisjoint(symbols):
+        tags = tags or [machine.symbols[s] for s in symbols]
+        tags = [t - {"HARM"} if "HARM" in t and _everyday(found, tags, i) else t for i, t in enumerate(tags)]
+    if tags:
+        symbols = [machine.symbol(t) for t in tags]
+    return machine.score([begin, *symbols, end])
 
 
 @lru_cache(1)
-def tables() -> tuple:
-    """(folded code point or 0, letter class, class of the grammar's words, class of figures)."""
+def folding() -> np.ndarray:
+    """The folded code point of each, 0 for those that are left out."""
     n = 0x110000
     folded = np.arange(n, dtype=np.uint32)
-    letter, word = np.zeros(n, bool), np.zeros(n, bool)
     for i in range(n):
         if 0xD800 <= i < 0xE000 or 0xE000 <= i < 0xF900 or 0xAC00 <= i < 0xD7A4 or 0x3400 <= i < 0xA000 or i >= 0x20000:
-            letter[i] = 0xAC00 <= i < 0xD7A4 or 0x3400 <= i < 0xA000
             if i >= 0xE0000:
                 folded[i] = 0
             continue
         f = fold(chr(i))
         folded[i] = ord(f) if f else 0
-        letter[i] = chr(i).isalpha()
-        word[i] = chr(i).isalnum()
-    word |= letter
-    word[[ord(a) for a in "_@$+!*€£|"]] = True
-    figure = np.zeros(n, bool)
-    figure[[ord(a) for a in FIGURES]] = True
-    return folded, letter, word, figure
-
+    return folded
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 
+_SOFT_HYPHEN = re.compile(r"\\-(?![ \t\r\n])")
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            factors = np.full(n + 1, base, np.uint64)
-            factors[0] = 1
-            both.append(np.cumprod(factors))
-    return both[0], both[1]
 
+def folded(text: str) -> str:
+    """A text in plain lower-case letters."""
+    points = folding()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    plain = points[points != 0].tobytes().decode("utf-32-le")
+    return _SOFT_HYPHEN.sub("", plain)
 
-def _hashes(points: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, hash) of each run of ``inside``."""
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(1 << max(10, int(len(points)).bit_length()))
-    total = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(points.astype(np.uint64) * up[: len(points)], out=total[1:])
-    return begin, end, (total[end] - total[begin]) * down[begin]
 
-
-@lru_cache(1)
-def gate() -> tuple[set[str], list[tuple[frozenset, ...]]]:
-    """(words that are a trigger alone, chains of sets of words). A chain stands for a pattern or phrase that can match
-    without such a word: a word of each of its sets, in this order, is a trigger as well."""
-    lexicon, phrases, patterns, _ = grammar()
-    common = {"YOU", "ROLE", "COP", "THEY", "NOT", "MUST", "WISH", "I", "WILL", "ME", "WHO", "TOLD", "SAY", "LINK", "ASKED", "HOT", "WORD", "PART", "OPEN", "LEGS"}
-    words = {w for w, t in lexicon.items() if {x for x in t if x.isupper()} - common}
-    words |= {fold(w) for w in "deserve deserves wonder trained skin faith shine fresse gueule callate заткнись hire cleaner ape roof miss likes parks legs thighs beine cuisses piernas halt stick away screw hell shut share find school дебил screw пошел иди where knees".split()}
-    words -= {"die", "driven", "drive", "run", "primitive", "removed", "remove", "to", "is", "are", "be", "live", "run", "cut", "may", "let", "hot", "hard", "inside", "came", "lot", "sort", "kind"}
-    quiet: dict[str, list[tuple[str, ...]]] = {}
-    for ws, tag in (x for found in phrases.values() for x in found):
-        if not words & set(ws):
-            quiet.setdefault(tag, []).append(ws)
-    chains: set[tuple[frozenset, ...]] = set()
-    for _, elements, _ in patterns:
-        names = [n for _, n in elements if all(x.isalpha() for x in n) and "END" not in n]
-        if len(names) == 1:
-            chains |= {tuple(frozenset((w,)) for w in ws) for tag in names[0] for ws in quiet.get(tag, [])}
-            chains |= {(frozenset((w,)),) for w in lexicon.keys() - words if lexicon[w] & names[0]}
-            continue
-        chain = tuple(frozenset({w for w, t in lexicon.items() if t & n} - words | {max(ws, key=len) for tag in n for ws in quiet.get(tag, [])}) for n in names)
-        if all(chain):
-            chains.add(chain)
-    return words, sorted(chains, key=lambda c: [sorted(e) for e in c])
-
-
-@lru_cache(1)
-def trigger_hashes() -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]], np.ndarray, dict[str, int]]:
-    """(sorted hashes of the words of the gate, which are triggers alone, which are of each set of each chain, leading bits
-    that occur, place of each word)."""
-    alone, chains = gate()
-    words = sorted(alone.union(*(e for c in chains for e in c)))
-    points = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words]
-    keys = np.array([_hashes(p, np.ones(len(p), bool))[2][0] for p in points], np.uint64)
-    order = np.argsort(keys)
-    keys, words = keys[order], [words[i] for i in order]
-    first = np.zeros(1 << 16, bool)
-    first[keys >> np.uint64(48)] = True
-    among = lambda e: np.array([w in e for w in words])
-    return keys, among(alone), [[among(e) for e in c] for c in chains], first, {w: i for i, w in enumerate(words)}
-
-
-def _known(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which hashes are of words of the gate, the places of these words in it)."""
-    keys, _, _, first, _ = trigger_hashes()
-    maybe = np.flatnonzero(first[hashes >> np.uint64(48)])
-    at = np.minimum(np.searchsorted(keys, hashes[maybe]), len(keys) - 1)
-    same = keys[at] == hashes[maybe]
-    return maybe[same], at[same]
-
-
-def _gated(at: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
-    """Places of words that are triggers alone, and of those that end a chain, no step of it farther than the grammar sees."""
-    _, alone, chains, _, _ = trigger_hashes()
-    found = [at[alone[word]]]
-    order = np.argsort(at, kind="stable")
-    at, word = at[order], word[order]
-    for chain in chains:
-        ends = at[chain[0][word]]
-        for e in chain[1:]:
-            if not len(ends):
-                break
-            here = at[e[word]]
-            before = np.searchsorted(ends, here) - 1
-            ends = here[(before >= 0) & (here - ends[before] <= REACH)]
-        found.append(ends)
-    return found
-
-
-def triggers(points: np.ndarray) -> np.ndarray:
-    """Places in folded code points near which a pattern could match."""
-    _, letter, word, figure = tables()
-    n = len(points)
-    if n < 3:
-        return np.zeros(0, np.int64)
-    is_letter, is_word = letter[points], word[points]
-    han = (points >= 0x3400) & (points < 0xA000)
-    begin, end, h = _hashes(points, is_letter & ~han)
-    i, w = _known(h)
-    at, of = [begin[i]], [w]
-
-    def read(place: int, words: tuple[int, ...]) -> None:
-        if words:
-            at.append(np.full(len(words), place, np.int64))
-            of.append(np.array(words, np.int64))
-
-    edge = np.flatnonzero(np.diff(han.astype(np.int8), prepend=0, append=0))
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        for m in _han_words().finditer(_text(points[a:b])):
-            read(a + m.start(), _gate_words(m.group()))
-    if len(edge):
-        begin, end, _ = _hashes(points, is_letter)
-    # words with figures, each spelling read once by the grammar
-    begin2, end2, h2 = _hashes(points, is_word & ~han)
-    letters, figures = (np.concatenate([[0], np.cumsum(x)]) for x in (is_letter, figure[points]))
-    mixed = np.flatnonzero((letters[end2] > letters[begin2]) & (figures[end2] > figures[begin2]) & (end2 - begin2 > 2))
-    _, one, same = np.unique(h2[mixed], return_index=True, return_inverse=True)
-    known = [_gate_words(_text(points[begin2[mixed[k]] : end2[mixed[k]]])) for k in one]
-    some = np.array([bool(x) for x in known], bool)
-    for k in np.flatnonzero(some[same]):
-        read(begin2[mixed[k]], known[same[k]])
-    # single letters with figures among them
-    single = begin2[end2 - begin2 == 1]
-    apart = np.flatnonzero((np.diff(single, prepend=-9) != 2) | (points[single - 1] != 0x20))
-    last = np.append(apart[1:], len(single))[: len(apart)] - 1
-    lo, hi = single[apart], single[last] + 1
-    for a, b in zip(lo[keep := (hi - lo > 4) & (figures[hi] > figures[lo]) & (letters[hi] > letters[lo])], hi[keep], strict=True):
-        text = _text(points[a:b:2])
-        for x in (text, text[1:], text[:-1]):
-            read(a, _gate_words(x))
-    # words parted by markup or a line end
-    inner = np.flatnonzero(is_word[:-1] & np.isin(points[1:], [ord(c) for c in '\\{"-'])) + 1
-    inner = inner[: np.searchsorted(inner, n - 1)]
-    sign, after = points[inner], points[inner + 1]
-    begins = {"-": "\n", '"': "-|=", "{": "\\} \t\r\n", "\\": "/,!-aktemuhsl"}
-    inner = inner[np.logical_or.reduce([(sign == ord(a)) & np.isin(after, [ord(c) for c in b]) for a, b in begins.items()])]
-    for p in inner:
-        if _PARTS.match(_text(points[p : p + 16])):
-            lo = max(0, p - 64)
-            while lo < p and lo and is_word[lo] and is_word[lo - 1]:
-                lo += 1
-            for x in set(_TOKEN.findall(_cut_han(_rejoin(_text(points[lo : p + 64]))))):
-                read(p, _gate_words(x))
-    found = _gated(np.concatenate(at), np.concatenate(of))
-    star = np.flatnonzero(points[1:-1] == ord("*")) + 1
-    found.append(star[is_letter[star - 1] & (is_letter[star + 1] | (points[star + 1] == ord("*")))])
-    for left, right in ("{}", "\\/", "\\,", "\\!"):  # nothing, or a thin space, inside a word
-        pair = np.flatnonzero((points[:-1] == ord(left)) & (points[1:] == ord(right)))
-        pair = pair[(pair > 0) & (pair < n - 2)]
-        found.append(pair[is_letter[pair - 1] & is_letter[pair + 2]])
-    brace = np.flatnonzero(points[1:-1] == ord("}")) + 1
-    brace = brace[is_letter[brace - 1] & is_letter[brace + 1]]
-    found.append(np.array([b for b in brace if _SPLIT.search(_text(points[max(0, b - 40) : b]))], np.int64))
-    same = (points[1:] == points[:-1]) & is_letter[1:]
-    run = np.flatnonzero(same[1:] & same[:-1])
-    run = np.unique(np.searchsorted(begin, run, "right") - 1)
-    found.append(np.array([b for b, e in zip(begin[run], end[run], strict=True) if not _PLAIN_RUN.fullmatch(("  " + _text(points[max(0, b - 1) : e]))[-(e - b) - 1 :])], np.int64))
-    single = (end - begin) == 1
-    chain = single[:-1] & single[1:] & (begin[1:] == end[:-1] + 1)
-    chain[chain] = points[end[:-1][chain]] == 0x20
-    found.append(begin[:-2][chain[:-1] & chain[1:]] if len(begin) > 2 else begin[:0])
-    return np.unique(np.concatenate(found))
+def parts(text: str) -> Iterator[str]:
+    """A text in parts of about a chunk, which end where a clause does."""
+    at = 0
+    while len(text) - at > CHUNK:
+        ends = [e for mark in ("\n\n", "。", "! ", "? ") if (e := text.find(mark, at + CHUNK)) >= 0]
+        if not ends:
+            break
+        yield text[at : min(ends) + 1]
+        at = min(ends) + 1
+    yield text[at:]
 
 
 def scores(texts: list[str]) -> np.ndarray:
-    """Score of each text. A text longer than a chunk is scored in parts that overlap by more than a window."""
-    if len(texts) == 1 and len(texts[0]) > CHUNK:
-        t = texts[0]
-        return np.array([max(_scores([t[i : i + CHUNK + 4 * REACH]])[0] for i in range(0, len(t), CHUNK))])
-    return _scores(texts)
-
-
-def _scores(texts: list[str]) -> np.ndarray:
-    folded = tables()[0]
-    out = np.zeros(len(texts))
-    points = folded[np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le"), np.uint32)]
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    keep = points != 0
-    soft = np.flatnonzero((points[:-2] == ord("\\")) & (points[1:-1] == ord("-")) & ~np.isin(points[2:], [0x20, 0x09, 0x0A, 0x0D]))
-    keep[soft] = keep[soft + 1] = False
-    ends = np.concatenate([[0], np.cumsum(keep)])[np.cumsum(sizes)]
-    points = points[keep]
-    starts = np.concatenate([[0], ends[:-1]])
-    at = triggers(points)
-    if not len(at):
-        return out
-    which = np.searchsorted(ends, at, "right")
-    lo, hi = np.maximum(at - REACH, starts[which]), np.minimum(at + REACH, ends[which])
-    i = 0
-    while i < len(at):
-        j = i
-        while j + 1 < len(at) and which[j + 1] == which[i] and lo[j + 1] <= hi[j]:
-            j += 1
-        doc = which[i]
-        window = _text(points[lo[i] : hi[j]])
-        for words in clauses(window):
-            out[doc] = max(out[doc], clause_score(words))
-        i = j + 1
-    return out
+    """Score of each text."""
+    return np.array([max((clause_score(c) for part in parts(t) for c in clauses(folded(part))), default=0.0) for t in texts])
 
 
 def score_documents(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -716,8 +567,7 @@ def score_documents(df: DataFrame, keep: list[str], text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [scores(part) for _, part in chunks(batch.column(len(keep)).to_pylist())]
-            values = np.concatenate(parts) if parts else np.zeros(0)
+            values = scores([t or "" for t in batch.column(len(keep)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, pa.float64())], [*keep, "score"])
 
     return df.select(*keep, text).mapInArrow(run, f"{schema}, score double")
