@@ -43,7 +43,7 @@ def strict_load(lines: DataFrame) -> DataFrame:
 
     One pass: the pattern of the line's engine matches once and hands out all fields.
     """
-    shallow = F.length("raw_line") - F.length(F.translate("raw_line", "\\{", "")) < _DEPTH
+    shallow = F.length("raw_line") - F.length(F.replace(F.replace("raw_line", F.lit("\\")), F.lit("{"))) < _DEPTH
     fields = lambda pattern, *groups: F.regexp_replace("raw_line", pattern, _BAR + _BAR.join(groups))
     kv, sql = fields(_KV, "", "$1", "$2", "$3", "$4"), fields(_SQL, "$1", "$2", "$3", "$4", "$5")
     hit = F.when(shallow & ~F.col("raw_line").startswith(_BAR), F.when(F.col("engine") == "kv", kv).when(F.col("engine") == "sql", sql))
