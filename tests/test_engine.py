@@ -218,7 +218,7 @@ def test_backup_restore_and_prune(spark, tmp_path):
     assert early == recovery.RecoveryPoint(0, 0)
     with pytest.raises(SqlError):
         recovery.restore(spark, str(tmp_path / "backup"), str(tmp_path / "r4"), recovery.RecoveryPoint(9, 0))
-    lock = recovery.hold(root)
+    lock = recovery.hold(recovery.Folder(spark, root))
     with pytest.raises(SqlError):
         recovery.prune(spark, root, 10**15)
     lock.close()
@@ -226,7 +226,7 @@ def test_backup_restore_and_prune(spark, tmp_path):
     gone = recovery.prune(spark, root, 10**15)
     assert gone and recovery.prune(spark, root, 10**15, apply=True) == gone
     assert db.execute("SELECT COUNT(*) FROM items").rows() == [(0,)] and KVStore(spark, f"{root}/kv").get("two") == "x"
-    victim = next(f for f in recovery._files(str(tmp_path / "backup")) if f.endswith(".parquet"))
+    victim = next(f for f in recovery.Folder(spark, str(tmp_path / "backup")).walk() if f.endswith(".parquet"))
     with open(tmp_path / "backup" / victim, "ab") as f:
         f.write(b"x")
     with pytest.raises(SqlError, match="damaged"):
