@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from tidemark.engine import ast as A
 from tidemark.engine import types as K
-from tidemark.engine.errors import AnalysisError
+from tidemark.engine.errors import AnalysisError, SqlError
+from tidemark.engine.evaluate import evaluate
 from tidemark.engine.parser import parse
 from tidemark.engine.planner import Attr, Lowering, Planner, Source
 from tidemark.engine.tables import folder_lookup
@@ -114,3 +118,51 @@ def upsert_image(spark: SparkSession, target: DataFrame, rows: DataFrame, key: l
     """``target`` after an upsert of ``rows``, with the assignments of an INSERT ... ON DUPLICATE KEY UPDATE."""
     statement = parse(sql)
     return upserted(Planner(spark, lambda _: Source(target)), target, rows, key, statement.on_duplicate, statement.table)
+
+
+def fold_in_order(types: dict[str, str], key: list[str], assignments: list[tuple[str, A.Expr]], schema: pa.Schema):
+    """A function for mapInArrow: rows sorted by key, the table's row (with its id) before incoming ones in their order, to
+    the row that each key ends with, its id, and how many rows that counts for. An assignment that fails is told in
+    ``__error``."""
+    names = list(types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        row: dict = {}
+        rid, count, error = None, 0, None
+        done: list[tuple] = []
+
+        def emitted() -> pa.RecordBatch:
+            columns = [pa.array([d[i] for d in done], f.type) for i, f in enumerate(schema)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            for *values, old in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                incoming = dict(zip(names, values, strict=True))
+                at = tuple(incoming[k] for k in key)
+                if at != now:
+                    if now is not None:
+                        done.append((*(row[n] for n in names), rid, count, error))
+                    now, row, rid, error = at, incoming, old, None
+                    count = 0 if old is not None else 1
+                    continue
+                new = dict(row)
+                try:
+                    for name, e in assignments:
+                        v = evaluate(e, new, incoming)
+                        if not K.coercible(K.value_type(v), types[name]):
+                            raise AnalysisError(f"Type mismatch for column '{name}'")
+                        new[name] = float(v) if types[name] == "float" and v is not None else v
+                except SqlError as failed:
+                    error = error or str(failed)
+                    continue
+                count += 2 * (new != row)
+                row = new
+            if len(done) >= 4096:
+                yield emitted()
+        if now is not None:
+            done.append((*(row[n] for n in names), rid, count, error))
+        yield emitted()
+
+    return run

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.engine import ast as A
 from tidemark.engine import constraints as C
@@ -17,10 +18,10 @@ from tidemark.engine.catalog import RID, Col, Index, Manifest, Rule, Store, Tabl
 from tidemark.engine.errors import AnalysisError, ConstraintError, SqlError, Unsupported
 from tidemark.engine.evaluate import evaluate, truth
 from tidemark.engine.planner import Planner, Source
-from tidemark.session import local_frame
+from tidemark.session import cut, local_frame
 
-#: An upsert whose keys conflict within the batch, or that meets several unique keys, is folded in row order on the
-#: driver up to so many rows; larger ones must be free of such conflicts.
+#: An upsert into a table with several unique keys, or one that changes its key, couples any row with any other, so it is
+#: folded in row order on the driver: up to so many rows. With one key that stays there is no limit.
 FOLD_ROWS = 100_000
 
 
@@ -309,15 +310,17 @@ class Workspace:
         t.indexes = [i for i in t.indexes if not (i.automatic and i.name == rule.name)]
 
     # -- constraints
-    def validate(self, t: Table, rules: list[Rule], rows: DataFrame | None = None, into: C.Checks | None = None, keys_only: bool = False) -> None:
+    def validate(self, t: Table, rules: list[Rule], rows: DataFrame | None = None, into: C.Checks | None = None, keys_only: bool = False, same_keys: bool = False) -> None:
         """Whether the table satisfies ``rules``. With ``rows``, the only new ones, just these are looked at: their
         keys are joined with the table's, which was valid before. ``keys_only`` leaves out what the rows show by
-        themselves."""
+        themselves, ``same_keys`` the unique keys, which no row changed."""
         checks = into or C.Checks()
         frame = self.store.frame(t)
         looked = frame if rows is None else rows
         for r in rules:
             if r.kind in ("primary", "unique"):
+                if same_keys:
+                    continue
                 self.unique(t, r.columns, r.name, frame, rows, checks, keys_only)
             elif r.kind == "check" and not keys_only:
                 checks.none(C.failed_check(self.spark, looked.drop(RID), check_expr(r)), f"CHECK constraint '{r.name}' failed")
@@ -335,16 +338,16 @@ class Workspace:
             there = frame.where(F.col(RID) < self.first_new)
             checks.none(rows.select(*columns).join(there.select(*columns), columns, "left_semi"), message)
 
-    def validate_rows(self, t: Table, rows: DataFrame | None, keys_only: bool = False) -> None:
+    def validate_rows(self, t: Table, rows: DataFrame | None, keys_only: bool = False, same_keys: bool = False) -> None:
         """Everything that a write to ``t`` can break: its own constraints (on ``rows`` if these are all that is new)."""
         checks = C.Checks()
         needed = [c.name for c in t.columns if not c.nullable]
         looked = self.store.frame(t) if rows is None else rows
         if needed and not keys_only:
             checks.none(C.nulls(looked, needed), f"NOT NULL constraint failed on table '{t.name}'")
-        self.validate(t, t.rules, rows, checks, keys_only)
+        self.validate(t, t.rules, rows, checks, keys_only, same_keys)
         for i in t.indexes:
-            if i.unique and not i.automatic:
+            if i.unique and not i.automatic and not same_keys:
                 self.unique(t, i.columns, i.name, self.store.frame(t), rows, checks, keys_only)
         checks.run()
 
@@ -363,10 +366,12 @@ class Workspace:
             if len(whole) != len(set(whole)):
                 raise ConstraintError(f"Duplicate value for unique key ({', '.join(key)}) of table '{t.name}'")
 
-    def validate_inbound(self, t: Table) -> None:
-        """References to ``t`` after rows of it changed or went."""
+    def validate_inbound(self, t: Table, changed: set[str] | None = None) -> None:
+        """References to ``t`` after rows of it went, or the columns ``changed`` did."""
         checks = C.Checks()
         for child, r in self.inbound(t.name):
+            if changed is not None and not changed & set(r.ref_columns):
+                continue
             checks.none(
                 C.missing_parents(self.store.frame(child), r.columns, self.store.frame(t), r.ref_columns),
                 f"FOREIGN KEY constraint '{r.name}' of table '{child.name}' failed",
@@ -446,21 +451,22 @@ class Workspace:
         self.validate_rows(t, self.store.frame(Table(t.name, t.columns, files=files)), isinstance(rows, list))
         return n
 
-    def rewritten(self, t: Table, where: A.Expr | None, change: Callable[[DataFrame], DataFrame]) -> int:
-        """Copy-on-write of the files that hold a row which ``where`` meets; the other files stay as they are."""
+    def rewritten(self, t: Table, where: A.Expr | None, change: Callable[[DataFrame], DataFrame]) -> tuple[int, DataFrame | None]:
+        """Copy-on-write of the files that hold a row which ``where`` meets; the other files stay as they are. The number of
+        rows met, and the rows of the new files."""
         if not t.files:
-            return 0
+            return 0, None
         planner = self.planner()
         frame = self.store.frame_with_file(t)
         hit = dml.met(planner, frame, t.name, (RID, "__file"), where)
         touched = self.store.affected_files(t, frame.where(hit))
         if not touched:
-            return 0
+            return 0, None
         old = self.store.frame_with_file(t, touched)
         n = old.where(dml.met(planner, old, t.name, (RID, "__file"), where)).count()
         new = self.save(t, change(old.drop("__file")))
         t.files = [f for f in t.files if f not in touched] + new
-        return n
+        return n, self.store.frame(Table(t.name, t.columns, files=new))
 
     def update(self, s: A.Update) -> int:
         t = self.table(s.table)
@@ -469,10 +475,12 @@ class Workspace:
                 raise AnalysisError(f"Unknown column '{name}'")
 
         def write() -> int:
-            n = self.rewritten(t, s.where, lambda df: dml.updated(self.planner(), df, s, (RID,)))
+            n, new = self.rewritten(t, s.where, lambda df: dml.updated(self.planner(), df, s, (RID,)))
             if n:
-                self.validate_rows(t, None)
-                self.validate_inbound(t)
+                changed = {name for name, _ in s.assignments}
+                kept = not any(changed & set(key) for key in t.unique_keys())
+                self.validate_rows(t, new if kept else None, same_keys=kept)
+                self.validate_inbound(t, changed)
             return n
 
         return self.statement_atomic(t, write)
@@ -481,7 +489,7 @@ class Workspace:
         t = self.table(s.table)
 
         def write() -> int:
-            n = self.rewritten(t, s.where, lambda df: dml.deleted(self.planner(), df, s, (RID,)))
+            n, _ = self.rewritten(t, s.where, lambda df: dml.deleted(self.planner(), df, s, (RID,)))
             if n:
                 self.validate_inbound(t)
             return n
@@ -512,9 +520,11 @@ class Workspace:
             return self.joined_upsert(t, df, keys[0], s)
         if not plain:
             raise Unsupported("a subquery in the assignments of an upsert with conflicting keys")
+        if joined:
+            return self.upsert_in_order(t, df, keys[0], s)
         batch = [tuple(r)[:-1] for r in df.limit(FOLD_ROWS + 1).collect()] if not isinstance(rows, list) else rows
         if len(batch) > FOLD_ROWS:
-            raise Unsupported(f"an upsert of more than {FOLD_ROWS} rows must have distinct keys and one unique key")
+            raise Unsupported(f"an upsert of more than {FOLD_ROWS} rows into a table with several unique keys, or that changes the key")
         return self.folded_upsert(t, batch, keys, s)
 
     def joined_upsert(self, t: Table, rows: DataFrame, key: list[str], s: A.Insert) -> int:
@@ -536,10 +546,38 @@ class Workspace:
             written = self.store.frame(Table(t.name, t.columns, files=files))
             changed = 2 * written.join(before, F.col(RID) == F.col("__o")).where(~same).count()
             t.files = [f for f in t.files if f not in touched] + files
-            self.validate_rows(t, None)
-            self.validate_inbound(t)
+            self.validate_rows(t, written, same_keys=True)
+            self.validate_inbound(t, {n for n, _ in s.on_duplicate})
         return changed + self.append(t, fresh.drop(RID))
 
+    def upsert_in_order(self, t: Table, rows: DataFrame, key: list[str], s: A.Insert) -> int:
+        """Incoming keys that repeat: the rows of a key, that of the table first, are folded in the order of the batch. The
+        executors sort them by key and order and hold one row at a time, so no key is too large."""
+        names = [c.name for c in t.columns]
+        batch = rows.select(*names).withColumn("__seq", F.monotonically_increasing_id())
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+        met = batch.where(known).select(*key).distinct()
+        files = self.store.frame_with_file(t) if t.files else None
+        touched = self.store.affected_files(t, files.join(met, key, "left_semi")) if t.files else []
+        both = batch.where(known).withColumn(RID, F.lit(None).cast("long"))
+        if touched:
+            old = self.store.frame_with_file(t, touched).drop("__file")
+            both = both.unionByName(old.join(met, key, "left_semi").withColumn("__seq", F.lit(-1).cast("long")))
+        arranged = both.repartition(*key).sortWithinPartitions(*key, "__seq").select(*names, RID)
+        schema = t.schema().add("__count", T.LongType()).add("__error", T.StringType())
+        out = cut(arranged.mapInArrow(dml.fold_in_order({c.name: c.type for c in t.columns}, key, s.on_duplicate, to_arrow_schema(schema)), schema))
+        if (failed := out.where(F.col("__error").isNotNull()).select("__error").first()) is not None:
+            raise AnalysisError(failed[0])
+        count = out.agg(F.sum("__count")).first()[0] or 0
+        if touched:
+            new = self.save(t, old.join(met, key, "left_anti").select(*names, RID).unionByName(out.where(F.col(RID).isNotNull()).select(*names, RID)))
+            t.files = [f for f in t.files if f not in touched] + new
+            self.validate_rows(t, self.store.frame(Table(t.name, t.columns, files=new)), same_keys=True)
+            self.validate_inbound(t, {n for n, _ in s.on_duplicate})
+        fresh = out.where(F.col(RID).isNull()).select(*names)
+        self.append(t, fresh.unionByName(batch.where(~known).select(*names)))
+        return count + batch.where(~known).count()
+
     def folded_upsert(self, t: Table, batch: list[tuple], keys: list[list[str]], s: A.Insert) -> int:
         """Rows one after another, as each may meet a row that came before it; bounded by :data:`FOLD_ROWS`."""
         names = [c.name for c in t.columns]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.engine import constraints, dml
 from tidemark.engine.tables import query_folder
 from tidemark.operators.fold import fold_changes
+from tidemark.operators.fold import kv_state as kv_alive
 from tidemark.sources import table
 
 #: name: dialect text | (dialect text, other text) | (dialect text, other text or None, {column: digits})
@@ -63,7 +64,8 @@ SELECTS: dict[str, str | tuple] = {
     "join_theta_right": "SELECT s.s_suppkey, n.n_nationkey FROM supplier s RIGHT JOIN nation n ON s.s_nationkey > n.n_nationkey",
     "join_multi_key": "SELECT a.l_orderkey, a.l_linenumber FROM lineitem a INNER JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey < b.l_partkey",
     "join_cross": "SELECT n.n_nationkey, r.r_regionkey FROM nation n CROSS JOIN region r",
-    "join_mixed_numeric": "SELECT p.p_partkey, l.l_orderkey FROM part p INNER JOIN lineitem l ON p.p_size = l.l_quantity WHERE p.p_partkey < 20 AND l.l_orderkey < 500",
+    "join_mixed_numeric": "WITH p AS (SELECT p_size AS k, COUNT(*) AS parts FROM part GROUP BY p_size), l AS (SELECT l_quantity AS k, COUNT(*) AS lines FROM lineitem GROUP BY l_quantity) SELECT p.parts, l.k, l.lines FROM p INNER JOIN l ON p.k = l.k",
+    "join_residual": "SELECT o.o_orderkey, c.c_custkey FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 30",
     "join_three_way": "SELECT c.c_custkey, n.n_name, r.r_name FROM customer c INNER JOIN nation n ON c.c_nationkey = n.n_nationkey INNER JOIN region r ON n.n_regionkey = r.r_regionkey",
     "join_self": "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a INNER JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey",
     # aggregation
@@ -89,7 +91,10 @@ SELECTS: dict[str, str | tuple] = {
         "SELECT o_custkey, o_orderstatus, COUNT(*) AS cnt FROM orders GROUP BY o_custkey",
         "SELECT o_custkey, ARG_MIN(o_orderstatus, o_orderkey) AS o_orderstatus, COUNT(*) AS cnt FROM orders GROUP BY o_custkey",
     ),
+    "agg_detected": ("SELECT 1 + MAX(n_nationkey) AS m FROM nation", "SELECT CAST(1 + MAX(n_nationkey) AS BIGINT) AS m FROM nation"),
+    "agg_group_ordinal": ("SELECT COUNT(*) AS n FROM nation GROUP BY 1", "SELECT COUNT(*) AS n FROM nation"),
     # distinct, order, limit
+    "sort_ordinal": ("SELECT n_nationkey, n_name FROM nation ORDER BY 1 DESC", "SELECT n_nationkey, n_name FROM nation"),
     "distinct_cols": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "sort_multi": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey ASC, c_acctbal DESC, c_custkey",
     "sort_hidden_col": "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20",
@@ -108,6 +113,7 @@ SELECTS: dict[str, str | tuple] = {
     ),
     # subqueries and CTEs
     "subq_scalar": "SELECT o_orderkey, (SELECT MAX(c_custkey) FROM customer) AS mx FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)",
+    "subq_repeated": "SELECT n_nationkey FROM nation WHERE n_regionkey = (SELECT MIN(r_regionkey) FROM region) OR n_nationkey = (SELECT MIN(r_regionkey) FROM region)",
     "subq_scalar_empty": "SELECT n_nationkey, (SELECT r_name FROM region WHERE r_regionkey = 99) AS missing FROM nation",
     "subq_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "subq_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)",
@@ -164,12 +170,6 @@ def prepared_bind(spark: SparkSession, folder: str) -> DataFrame:
     return query_folder(spark, folder, "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = ? AND c_acctbal > ?", [7, 1000.0])
 
 
-def insert_select(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of a table after INSERT ... SELECT from itself."""
-    nation = query_folder(spark, folder, "SELECT n_nationkey, n_name FROM nation")
-    return nation.unionByName(query_folder(spark, folder, "SELECT n_nationkey + 100 AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1"))
-
-
 def _image(name: str, key: list[str], statement: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return dml.image(spark, folder, statement).select(*key)
@@ -190,7 +190,7 @@ delete_image = _image("delete_image", ["s_suppkey", "s_name", "s_nationkey", "s_
 def upsert_image(spark: SparkSession, folder: str) -> DataFrame:
     """The table after an upsert of rows, some of which are there."""
     target = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    rows = query_folder(spark, folder, "SELECT c_custkey + 50 AS k, c_acctbal AS v FROM customer WHERE c_custkey < 100")
+    rows = query_folder(spark, folder, "SELECT c_custkey + 50 AS k, c_acctbal AS v FROM customer")
     return dml.upsert_image(spark, target, rows, ["k"], "INSERT INTO t (k, v) VALUES (1, 1) ON DUPLICATE KEY UPDATE v = v + VALUES(v)")
 
 
@@ -219,38 +219,38 @@ def kv_state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kv_state_after_clear(spark: SparkSession, folder: str) -> DataFrame:
-    """Operations per key after the last clear."""
-    return query_folder(
-        spark, folder,
-        "SELECT user_id, COUNT(*) AS n FROM events WHERE event_id > (SELECT MAX(event_id) FROM events WHERE event_type = 'error' AND event_id < 5000) GROUP BY user_id",
-    )
+    """The keys of an operation log in which every error clears the store."""
+    log = table(spark, folder, "events").select(
+        F.lit("n").alias("node_id"), F.col("event_id").alias("sequence"), F.when(F.col("event_type") == "error", "Clear").otherwise("Set").alias("operation"), F.col("user_id").alias("kv_key"), F.col("event_type").alias("kv_value")
+    )
+    return kv_alive(log).select(F.col("kv_key").alias("user_id"), F.col("sequence").alias("seq"), F.col("kv_value").alias("last_op"))
 
 
 def pitr_cut(spark: SparkSession, folder: str) -> DataFrame:
-    """The state of each key at a point in the log."""
-    upto = table(spark, folder, "events").where(F.col("event_id") <= 2500)
-    return fold_changes(upto, ["user_id"], ["event_id"], "event_type", []).select("user_id", F.col("event_id").alias("seq"))
+    """The state of each key at a point in the log, a quarter of the way."""
+    events = table(spark, folder, "events")
+    point = events.agg(F.floor(F.max("event_id") / 4)).scalar()
+    return fold_changes(events.where(F.col("event_id") <= point), ["user_id"], ["event_id"], "event_type", []).select("user_id", F.col("event_id").alias("seq"))
 
 
 QUERIES = {name: select(name) for name in SELECTS} | {
     f.__name__: f
     for f in (
-        prepared_bind, insert_select, update_image, update_subq_image, delete_image, upsert_image, fk_violations, unique_violations,
+        prepared_bind, update_image, update_subq_image, delete_image, upsert_image, fk_violations, unique_violations,
         check_violations, kv_state, kv_state_after_clear, pitr_cut,
     )
 }
 
 ORACLE = {name: other_text(name) for name in SELECTS} | {
     "prepared_bind": "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7 AND c_acctbal > 1000.0",
-    "insert_select": "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + CAST(100 AS BIGINT), n_name FROM nation WHERE n_regionkey = 1",
     "update_image": "SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN s_acctbal + 10 ELSE s_acctbal END AS s_acctbal FROM supplier",
     "update_subq_image": "SELECT s_suppkey, CASE WHEN s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN (SELECT MAX(c_acctbal) FROM customer) ELSE s_acctbal END AS s_acctbal FROM supplier",
     "delete_image": "SELECT * FROM supplier WHERE NOT COALESCE(s_acctbal < 1000, FALSE)",
-    "upsert_image": "SELECT COALESCE(t.s_suppkey, i.k) AS k, CASE WHEN i.k IS NULL THEN t.s_acctbal WHEN t.s_suppkey IS NULL THEN i.v ELSE t.s_acctbal + i.v END AS v FROM supplier t FULL OUTER JOIN (SELECT c_custkey + 50 AS k, c_acctbal AS v FROM customer WHERE c_custkey < 100) i ON t.s_suppkey = i.k",
+    "upsert_image": "SELECT COALESCE(t.s_suppkey, i.k) AS k, CASE WHEN i.k IS NULL THEN t.s_acctbal WHEN t.s_suppkey IS NULL THEN i.v ELSE t.s_acctbal + i.v END AS v FROM supplier t FULL OUTER JOIN (SELECT c_custkey + 50 AS k, c_acctbal AS v FROM customer) i ON t.s_suppkey = i.k",
     "fk_violations": "SELECT c.c_custkey FROM customer c ANTI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) o ON c.c_custkey = o.o_custkey",
     "unique_violations": "SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1",
     "check_violations": "SELECT l_orderkey, l_discount FROM lineitem WHERE NOT COALESCE(l_discount <= 0.09, TRUE)",
     "kv_state": "SELECT user_id, ARG_MAX(event_type, event_id) AS last_op, MAX(event_id) AS seq FROM events GROUP BY user_id",
-    "kv_state_after_clear": "SELECT user_id, COUNT(*) AS n FROM events WHERE event_id > (SELECT MAX(event_id) FROM events WHERE event_type = 'error' AND event_id < 5000) GROUP BY user_id",
-    "pitr_cut": "SELECT user_id, MAX(event_id) AS seq FROM events WHERE event_id <= 2500 GROUP BY user_id",
+    "kv_state_after_clear": "SELECT user_id, MAX(event_id) AS seq, ARG_MAX(event_type, event_id) AS last_op FROM events WHERE event_type <> 'error' AND event_id > (SELECT COALESCE(MAX(event_id), 0) FROM events WHERE event_type = 'error') GROUP BY user_id",
+    "pitr_cut": "SELECT user_id, MAX(event_id) AS seq FROM events WHERE event_id <= (SELECT MAX(event_id) // 4 FROM events) GROUP BY user_id",
 }
