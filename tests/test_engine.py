@@ -10,6 +10,7 @@ import urllib.error
 import urllib.request
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.engine import cli, http, recovery, wire
 from tidemark.engine.errors import AnalysisError, ConflictError, ConstraintError, SqlError, Unsupported
@@ -245,6 +246,23 @@ def test_times_and_points():
             recovery.RecoveryPoint.parse(bad)
 
 
+def test_records_of_the_key_value_log_carry_their_checksum(spark, tmp_path):
+    kv = KVStore(spark, str(tmp_path / "kv"))
+    odd = {"a": "plain", 'q"uote': "back\\slash", "ctl\n\t\r\b\f": "\x01\x1f\x7f", "é ü": "日本 🙂 </x> & /"}
+    kv.set_many(odd)
+    kv.load(spark.createDataFrame([*odd.items(), ("n", None)], "kv_key string, kv_value string"))
+    kv.delete("a")
+    kv.clear()
+    assert kv.damaged().count() == 0 and kv.log().count() == 10
+    seg = kv.segments()[0]
+    bad = spark.read.parquet(kv.files.uri(seg[2])).withColumn("kv_value", F.concat("kv_value", F.lit("!"))).collect()
+    kv.files.delete(seg[2])
+    spark.createDataFrame(bad, kv.log().schema).write.parquet(kv.files.uri(seg[2]))
+    assert kv.damaged().count() == 4
+    with pytest.raises(SqlError, match="4 records"):
+        kv.check()
+
+
 def test_http(db, spark, tmp_path):
     run(db, "CREATE TABLE t (id INT, f FLOAT)", "INSERT INTO t VALUES (1, 2.5)")
     server = http.server(db, KVStore(spark, str(tmp_path / "kv")), "u", "p")
@@ -261,18 +279,24 @@ def test_http(db, spark, tmp_path):
             return e.code, json.loads(e.read())
 
     try:
-        assert call("GET", "/health", auth="x:y") == (200, {"status": "ok"})
-        assert call("GET", "/kv/a", auth="x:y")[0] == 401
-        assert call("PUT", "/kv/a%20b", {"value": "1"})[0] == 200 and call("GET", "/kv/a%20b") == (200, {"key": "a b", "value": "1"})
-        assert call("GET", "/kv/zz")[0] == 404 and call("PUT", "/kv/a", {"value": 1})[0] == 400
-        assert call("POST", "/kv/mset", {"pairs": {"x": "1"}})[1] == {"count": 1}
-        assert call("POST", "/kv/mget", {"keys": ["q", "x"]})[1]["values"] == [{"key": "q", "value": None}, {"key": "x", "value": "1"}]
-        assert call("GET", "/kv/info")[1]["keys"] == 2
-        assert call("DELETE", "/kv/x")[0] == 200 and call("POST", "/kv/clear")[0] == 200
-        status, body = call("POST", "/sql/execute", {"query": "SELECT * FROM t"})
-        assert status == 200 and body["rows"] == [[1, 2.5]] and body["columns"] == ["id", "f"]
-        assert call("POST", "/sql/execute", {"query": "BEGIN"})[0] == 400 and call("POST", "/sql/execute", {})[0] == 400
-        assert call("GET", "/sql/tables")[1] == {"tables": ["t"]}
+        data = lambda *args: (lambda status, body: (status, body["data"]) if body["success"] else (status, body["error"]))(*call(*args))
+        assert call("GET", "/health", auth="x:y") == (200, {"success": True, "data": {"status": "healthy", "version": http.VERSION}})
+        assert call("GET", "/kv/a", auth="x:y") == (401, {"success": False, "error": "Unauthorized"})
+        assert data("PUT", "/kv/a%20b", {"value": "1"})[0] == 200 and data("GET", "/kv/a%20b") == (200, {"key": "a b", "value": "1", "exists": True})
+        assert data("GET", "/kv/zz") == (404, {"key": "zz", "value": None, "exists": False}) and data("PUT", "/kv/a", {"value": 1})[0] == 400
+        assert data("POST", "/kv/mset", {"pairs": [{"key": "x", "value": "0"}, {"key": "x", "value": "1"}]}) == (200, {"requested": 2, "set": 1})
+        assert data("POST", "/kv/mget", {"keys": ["q", "x"]})[1] == [{"key": "q", "value": None, "exists": False}, {"key": "x", "value": "1", "exists": True}]
+        info = data("GET", "/kv/info")[1]
+        assert info["keys_count"] == 2 and not info["is_empty"] and info["wal_size_bytes"] > 0
+        assert data("DELETE", "/kv/x") == (200, {"key": "x", "deleted": True}) and data("DELETE", "/kv/x")[0] == 404 and data("POST", "/kv/clear")[1] == {"cleared": True}
+        status, body = data("POST", "/sql/execute", {"query": "SELECT * FROM t"})
+        assert status == 200 and body["rows"] == [[1, 2.5]] and body["columns"] == ["id", "f"] and body["message"] == "1 row(s) returned"
+        assert data("POST", "/sql/execute", {"query": "SELECT * FROM t WHERE id > 5"})[1]["rows"] == []
+        assert data("POST", "/sql/execute", {"query": "SELECT id / 0 FROM t"})[0] in (400, 500)
+        assert data("POST", "/sql/execute", {"query": "BEGIN"})[0] == 400 and data("POST", "/sql/execute", {})[0] == 400
+        assert data("GET", "/sql/tables")[1] == {"tables": ["t"], "count": 1}
+        with urllib.request.urlopen(urllib.request.Request(base + "/kv/a", method="OPTIONS")) as r:
+            assert r.status == 200 and r.headers["Access-Control-Allow-Origin"] == r.headers["Access-Control-Allow-Methods"] == "*"
     finally:
         server.shutdown()
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import atexit
 import os
+import shutil
 import sys
+import tempfile
 from collections.abc import Callable, Iterable
 
 from tidemark.engine import recovery
@@ -68,6 +71,7 @@ def kv_shell(kv: KVStore, lines: Iterable[str], say: Callable[[str], None] = pri
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     parser.add_argument("--data", default="./data", help="folder of the database")
+    parser.add_argument("--memory", action="store_true", help="keep nothing: a folder in memory, or else a temporary one, that goes at the end")
     sub = parser.add_subparsers(dest="command")
     for name in ("sql", "kv"):
         sub.add_parser(name)
@@ -86,6 +90,11 @@ def main(args: list[str] | None = None) -> int:
     cut.add_argument("--apply", action="store_true")
     a = parser.parse_args(args)
     spark = local_session()
+    if a.memory:
+        if a.command in ("backup", "restore", "wal-prune"):
+            parser.error(f"{a.command} needs a folder")
+        a.data = tempfile.mkdtemp(prefix="tidemark-", dir="/dev/shm" if os.access("/dev/shm", os.W_OK) else None)
+        atexit.register(shutil.rmtree, a.data, ignore_errors=True)
     sql_root, kv_root = os.path.join(a.data, "sql"), os.path.join(a.data, "kv")
     try:
         if a.command == "backup":

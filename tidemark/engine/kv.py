@@ -12,11 +12,13 @@ import threading
 import time
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.engine.errors import SqlError
 from tidemark.functions.walrecord import compact
+from tidemark.operators.badrows import crc_of
 from tidemark.operators.fold import fold_changes
 from tidemark.session import local_frame
 from tidemark.sources.fs import Folder
@@ -43,6 +45,25 @@ def record_checksum(sequence: int, millis: int, operation: str, key: str | None,
     return zlib.crc32(sequence.to_bytes(8, "little") + millis.to_bytes(8, "little") + body.encode())
 
 
+def _json_text(name: str) -> Column:
+    """A column as a JSON text, spelt as :func:`compact` spells it."""
+    plain = F.replace(F.replace(F.col(name), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    whole = plain
+    for i in range(32):
+        whole = F.replace(whole, F.lit(chr(i)), F.lit(compact(chr(i))[1:-1]))
+    return F.concat(F.lit('"'), F.when(F.col(name).rlike(r"[\x00-\x1f]"), whole).otherwise(plain), F.lit('"'))
+
+
+def record_crc() -> Column:
+    """:func:`record_checksum` of a row of :data:`LOG`, in the JVM."""
+    body = (
+        F.when(F.col("operation") == "Set", F.concat(F.lit('{"Set":{"key":'), _json_text("kv_key"), F.lit(',"value":'), _json_text("kv_value"), F.lit("}}")))
+        .when(F.col("operation") == "Delete", F.concat(F.lit('{"Delete":{"key":'), _json_text("kv_key"), F.lit("}}")))
+        .otherwise(F.lit('"Clear"'))
+    )
+    return crc_of([F.col("sequence"), F.col("timestamp_millis")], body)
+
+
 class KVStore:
     """A store under a folder. ``flush_ms`` is how long a buffered write may wait for the background thread; 0 starts
     none."""
@@ -52,6 +73,8 @@ class KVStore:
         self._lock = threading.RLock()
         self._pending: list[tuple] = []
         self._sequence = max([self.snapshot_sequence(), *(last for _, last, _ in self.segments())])
+        #: Sequence of the last Clear, which is looked up once and kept up to date.
+        self._cleared = self.log(self.snapshot_sequence()).where(F.col("operation") == "Clear").agg(F.max("sequence")).first()[0] or 0
         self._stop = threading.Event()
         if flush_ms:
             threading.Thread(target=self._flusher, args=(flush_ms / 1000,), daemon=True).start()
@@ -82,6 +105,20 @@ class KVStore:
         found = self.snapshots()
         return found[-1]["sequence"] if found else 0
 
+    def wal_bytes(self) -> int:
+        """Bytes of the log's segments that no snapshot holds yet."""
+        after = self.snapshot_sequence()
+        return sum(self.files.size(name) for _, last, name in self.segments() if last > after)
+
+    def damaged(self) -> DataFrame:
+        """Records of the log whose checksum is not that of their content."""
+        return self.log().where(~F.col("checksum").eqNullSafe(record_crc()))
+
+    def check(self) -> None:
+        """Refuse a log with damaged records."""
+        if n := self.damaged().count():
+            raise SqlError(f"{n} records of the key-value log are damaged")
+
     def log(self, after: int = 0) -> DataFrame:
         """The operations after a sequence, those that still wait included."""
         paths = [self.files.uri(n) for _, last, n in self.segments() if last > after]
@@ -90,8 +127,8 @@ class KVStore:
             return pending.where(F.col("sequence") > after)
         return self.spark.read.schema(LOG).parquet(*paths).unionByName(pending).where(F.col("sequence") > after)
 
-    def state(self) -> DataFrame:
-        """Keys alive with their value and the sequence that set it."""
+    def state(self, keys: list[str] | None = None) -> DataFrame:
+        """Keys alive (of ``keys`` only, if given) with their value and the sequence that set it."""
         with self._lock:
             found = self.snapshots()
             base = None
@@ -100,10 +137,12 @@ class KVStore:
                 after = found[-1]["sequence"]
                 base = self.spark.read.parquet(self.files.uri(found[-1]["folder"]))
             log = self.log(after)
-        cleared = log.where(F.col("operation") == "Clear").agg(F.max("sequence")).first()[0]
+        if keys is not None:  # the filter reaches the scans of the log and of the snapshot
+            wanted = F.col("kv_key").isin(keys)
+            log, base = log.where(wanted | (F.col("operation") == "Clear")), None if base is None else base.where(wanted)
+        if self._cleared > after:
+            log, base = log.where(F.col("sequence") > self._cleared), None
         points = log.where(F.col("operation") != "Clear")
-        if cleared is not None:
-            points, base = points.where(F.col("sequence") > cleared), None
         return fold_changes(points, ["kv_key"], ["sequence"], "operation", ["kv_value"], base=base, tombstones=False)
 
     # -- writes
@@ -143,6 +182,7 @@ class KVStore:
     def clear(self) -> None:
         with self._lock:
             self._pending.append(self._record("Clear"))
+            self._cleared = self._sequence
             self.flush()
 
     def flush(self) -> None:
@@ -163,21 +203,21 @@ class KVStore:
             rows = pairs.where(F.col("kv_key").isNotNull() & F.col("kv_value").isNotNull()).groupBy("kv_key").agg(F.max("kv_value").alias("kv_value"))
             numbered = rows.select(
                 F.lit(first).cast("long").alias("sequence"), F.lit(now).cast("long").alias("timestamp_millis"), F.lit("Set").alias("operation"),
-                "kv_key", "kv_value", F.lit(None).cast("long").alias("checksum"),
+                "kv_key", "kv_value",
             )
-            numbered.write.parquet(self.files.uri(f"log/seg-{first:019d}-{first:019d}"))
+            numbered.withColumn("checksum", record_crc()).write.parquet(self.files.uri(f"log/seg-{first:019d}-{first:019d}"))
             self._sequence = first
             return first
 
     # -- reads
     def get(self, key: str) -> str | None:
-        row = self.state().where(F.col("kv_key") == key).select("kv_value").first()
+        row = self.state([key]).select("kv_value").first()
         return row[0] if row else None
 
     def get_many(self, keys: list[str]) -> list[tuple[str, str]]:
         """The pairs that are there, in the order asked for."""
         wanted = local_frame(self.spark, [(i, k) for i, k in enumerate(keys)], T.StructType([T.StructField("i", T.LongType()), T.StructField("kv_key", T.StringType())]))
-        found = self.state().join(F.broadcast(wanted), "kv_key").orderBy("i").select("kv_key", "kv_value")
+        found = self.state(list(dict.fromkeys(keys))).join(F.broadcast(wanted), "kv_key").orderBy("i").select("kv_key", "kv_value")
         return [tuple(r) for r in found.collect()]
 
     def __len__(self) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -24,6 +25,10 @@ class Result:
         """The rows of a query, brought to the driver."""
         return [tuple(r) for r in self.frame.collect()] if self.frame is not None else self.values
 
+    def stream(self) -> Iterator[tuple]:
+        """The rows of a query one after another: the driver holds a partition of the result at a time."""
+        return (tuple(r) for r in self.frame.toLocalIterator(True)) if self.frame is not None else iter(self.values)
+
     def text(self) -> str:
         messages = {
             "rows": f"{self.count} row(s) affected",

@@ -30,7 +30,7 @@ _DEPTH = 1000
 _BAR = "\u0001"
 
 
-def _checksum(numbers: list[Column], body: Column) -> Column:
+def crc_of(numbers: list[Column], body: Column) -> Column:
     """CRC-32 over the numbers, eight bytes each with the lowest first, and the text. Each argument is used once."""
     highest_first = F.unhex(F.concat(*[F.lpad(F.hex(n), 16, "0") for n in reversed(numbers)]))
     turned = F.encode(F.reverse(F.decode(highest_first, "ISO-8859-1")), "ISO-8859-1")
@@ -50,7 +50,7 @@ def strict_load(lines: DataFrame) -> DataFrame:
     # the fields are made into a row, which keeps later conditions from matching the pattern again
     rows = lines.select("line_id", "node_id", "engine", F.explode(F.array(F.split(hit, _BAR))).alias("__f")).where(F.get("__f", F.lit(0)) == "")
     number = lambda i: F.get("__f", F.lit(i)).cast("long")
-    of = lambda *numbers: _checksum(list(numbers), F.get("__f", F.lit(4)))
+    of = lambda *numbers: crc_of(list(numbers), F.get("__f", F.lit(4)))
     counted = F.when(F.col("engine") == "kv", of(number(2), number(3))).otherwise(of(number(1), number(2), number(3)))
     base = F.when(F.col("engine") == "sql", number(1)).alias("base_version")
     return rows.where(counted == number(5)).select(

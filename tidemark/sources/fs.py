@@ -88,6 +88,15 @@ class Folder:
                 return False
             raise
 
+    def size(self, name: str) -> int:
+        """Bytes of a file, or of all files in a folder."""
+        if not self.local:
+            return self._fs.getContentSummary(self._path(name)).getLength()
+        at = self._at(name)
+        if not os.path.isdir(at):
+            return os.path.getsize(at)
+        return sum(os.path.getsize(os.path.join(folder, n)) for folder, _, names in os.walk(at) for n in names)
+
     def walk(self) -> list[str]:
         """Names of all files below, hidden ones of commits in the making left out."""
         if not self.exists():
