@@ -76,6 +76,15 @@ def test_documents(spark, small, reference):
     assert [f.dataType.simpleString() for f in queries.p6_ids(spark, small).schema] == ["bigint", "array<int>"]
 
 
+def test_the_vocabulary_goes_with_the_job(spark, tmp_path):
+    """Executors find it where the driver sent it, also if it is gone from its place."""
+    path = tmp_path / "vocabulary.json"
+    path.write_bytes(open(PATH, "rb").read())
+    df = tokenizer.token_ids(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), path=str(path))
+    path.unlink()
+    assert df.first().ids == ours(["some text"])[0]
+
+
 def test_same_hash_does_not_merge_pieces(monkeypatch):
     monkeypatch.setattr(tokenizer, "_mix", lambda x: x * np.uint64(0))
     data = b"abcdefgh" + b"abcdefgX" + b"abcdefgh" + bytes(8)

@@ -9,11 +9,13 @@ they are done. Null and empty texts have the empty list of ids.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Where the vocabulary files lie unless a path is given.
@@ -352,12 +354,20 @@ def segments(text: str, most: int = CHUNK) -> Iterator[str]:
     yield text[at:]
 
 
+def ship(df: DataFrame, path: str) -> Callable[[], str]:
+    """Send a vocabulary file along with the job; where an executor finds it."""
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda: path if os.path.exists(path) else SparkFiles.get(name)
+
+
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
     """``key`` and ``ids``, the list of token ids of the whole text; one row per row, in place, without a shuffle."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, where = df.schema[key].dataType.simpleString(), ship(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(path)
+        model = bpe(where())
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at, part in chunks(texts):
@@ -371,9 +381,10 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` of the whole text."""
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    where = ship(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(path)
+        model = bpe(where())
         for batch in batches:
             counts = [np.diff(model.encode(part)[1]) for _, part in chunks(batch.column(len(keep)).to_pylist())]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
