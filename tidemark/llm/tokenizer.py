@@ -8,6 +8,7 @@ they are done. Null and empty texts have the empty list of ids.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 #: Where the vocabulary files lie unless a path is given.
@@ -24,6 +25,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Code points that are worked on at once, and different pieces that are remembered by a worker.
 CHUNK = 1_000_000
 REMEMBERED = 400_000
+#: Bytes of a vocabulary file that may be broadcast.
+LARGEST = 64_000_000
 #: Pieces of more bytes than this are encoded one by one.
 WIDEST = 64
 #: The code points with the Unicode property White_Space.
@@ -67,9 +70,8 @@ class Bpe:
     BITS = 18
     FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, text: str | bytes):
+        model = json.loads(text)["model"]
         vocab = model["vocab"]
         if max(vocab.values()) >= PAD:
             raise ValueError("ids must be below 65535")
@@ -322,7 +324,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(4)
 def bpe(path: str) -> Bpe:
-    return Bpe(path)
+    with open(path, "rb") as f:
+        return Bpe(f.read())
+
+
+_SENT: dict[str, Bpe] = {}
+
+
+def _received(mark: str, shared: Broadcast) -> Bpe:
+    if mark not in _SENT:
+        _SENT[mark] = Bpe(shared.value)
+    return _SENT[mark]
+
+
+def sent(df: DataFrame, path: str) -> Callable[[], Bpe]:
+    """A vocabulary file of the driver as a broadcast, so executors need not have it; what makes the model of it there,
+    once a worker. The file must not be larger than :data:`LARGEST`."""
+    if os.path.getsize(path) > LARGEST:
+        raise ValueError(f"{path} is larger than {LARGEST} bytes")
+    with open(path, "rb") as f:
+        data = f.read()
+    mark, shared = hashlib.sha256(data).hexdigest(), df.sparkSession.sparkContext.broadcast(data)
+
+    return lambda: _received(mark, shared)
 
 
 def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
@@ -354,20 +378,12 @@ def segments(text: str, most: int = CHUNK) -> Iterator[str]:
     yield text[at:]
 
 
-def ship(df: DataFrame, path: str) -> Callable[[], str]:
-    """Send a vocabulary file along with the job; where an executor finds it."""
-    if os.path.exists(path):
-        df.sparkSession.sparkContext.addFile(path)
-    name = os.path.basename(path)
-    return lambda: path if os.path.exists(path) else SparkFiles.get(name)
-
-
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
     """``key`` and ``ids``, the list of token ids of the whole text; one row per row, in place, without a shuffle."""
-    kind, where = df.schema[key].dataType.simpleString(), ship(df, path)
+    kind, vocabulary = df.schema[key].dataType.simpleString(), sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(where())
+        model = vocabulary()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at, part in chunks(texts):
@@ -381,10 +397,10 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` of the whole text."""
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    where = ship(df, path)
+    vocabulary = sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(where())
+        model = vocabulary()
         for batch in batches:
             counts = [np.diff(model.encode(part)[1]) for _, part in chunks(batch.column(len(keep)).to_pylist())]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
