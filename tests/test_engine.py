@@ -246,6 +246,19 @@ def test_times_and_points():
             recovery.RecoveryPoint.parse(bad)
 
 
+def test_upsert_in_order_of_the_batch(db):
+    run(db, "CREATE TABLE t (id INT UNIQUE, n INT CHECK (n < 100), label TEXT)", "INSERT INTO t VALUES (1, 1, 'a'), (2, 2, 'b'), (NULL, 0, 'none')")
+    run(db, "CREATE TABLE b (id INT, n INT, label TEXT)", "INSERT INTO b VALUES (1, 5, 'x'), (3, 1, 'y'), (1, 5, 'x'), (3, 1, 'z'), (NULL, 7, 'p'), (NULL, 8, 'q')")
+    upsert = "INSERT INTO t SELECT id, n, label FROM b ON DUPLICATE KEY UPDATE n = n + VALUES(n), label = VALUES(label)"
+    assert db.execute(upsert).count == 2 + 2 + 1 + 2 + 2
+    want = [(None, 0, "none"), (None, 7, "p"), (None, 8, "q"), (1, 11, "x"), (2, 2, "b"), (3, 2, "z")]
+    assert db.execute("SELECT * FROM t ORDER BY id, n").rows() == want
+    for broken in ("n = 60 + n", "n = 1 / (n - n)"):
+        with pytest.raises(SqlError):
+            db.execute(upsert.replace("n = n + VALUES(n)", broken))
+    assert db.execute("SELECT * FROM t ORDER BY id, n").rows() == want
+
+
 def test_records_of_the_key_value_log_carry_their_checksum(spark, tmp_path):
     kv = KVStore(spark, str(tmp_path / "kv"))
     odd = {"a": "plain", 'q"uote': "back\\slash", "ctl\n\t\r\b\f": "\x01\x1f\x7f", "é ü": "日本 🙂 </x> & /"}

@@ -30,6 +30,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
