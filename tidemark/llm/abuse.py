@@ -253,7 +253,7 @@ PASSAGES = """
 1.5: YOU|ROLE <0 WILL <1 die|rot|bleed|choke *^DET !
 1.5: WEAPON <6 YOU <1 PART
 2: I <1 WILL <1 FIND
-1.5: I|we|they <3 know|find|out <1 where <1 YOU <1 PART
+1.5: I|we|they <3 know|find <2 where <1 YOU <1 PART
 1.5: FIND <6 PART|school|work
 1.5: I|we|they <4 FIND
 1.5: FIND <1 END|,
@@ -303,9 +303,9 @@ PASSAGES = """
 1.2: SEX <1 ME <9 mur|mesa|tisch|labortisch|стол
 """
 
-_TOKEN = re.compile(r"[\w@$+!*€£|]+|[,;:—–\u0003]")
+_TOKEN = re.compile(r"[\w@$+!*€£|]+|[,;:—–\u0003\u0004]")
 _SPACED = re.compile(r"(?<![\w@$+!*])[\w@$+!](?: [\w@$+!]){2,}(?![\w@$+!*])")
-_END = re.compile(r"[.?!。！？]+(?=\s|$|\\|\"|')|\n\s*\n|(?<=[。！？])")
+_END = re.compile(r"[.?!]+(?=[\s\\\"']|$)|\n\s*\n|[。！？]+")
 #: Notes are clauses of their own, apart from the sentence that they hang on.
 _NOTE = re.compile(r"\\(?:footnote|footnotetext|todo|marginpar)\*?\s*(?:\[[^\]]*\])?\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}")
 _OPEN_NOTE = re.compile(r"\\(?:footnote|footnotetext|todo|marginpar)\*?\s*(?:\[[^\]]*\])?\{")
@@ -433,7 +433,7 @@ def _cut_han(text: str) -> str:
         before, after = m.string[m.start() - 1 : m.start()], m.string[m.end() : m.end() + 1]
         return "\u0002" * bool(_TOKEN.match(before)) + "\u0002".join(_han_words().findall(m.group())) + "\u0002" * bool(_TOKEN.match(after))
 
-    return _HAN.sub(words, text)
+    return text if text.isascii() else _HAN.sub(words, text)
 
 
 class _Words(dict):
@@ -448,18 +448,18 @@ class _Words(dict):
         return self[word]
 
 
-_SIGNS = {",": frozenset(","), **{c: frozenset((c, "START")) for c in ":—–"}, **{c: frozenset((c, "START", "END")) for c in ";\u0003"}}
+_SIGNS = {"\u0004": frozenset(("CUT",)), ",": frozenset(","), **{c: frozenset((c, "START")) for c in ":—–"}, **{c: frozenset((c, "START", "END")) for c in ";\u0003"}}
 _OFTEN_HARMLESS = ("die", "run", "cut")
 
 
 @lru_cache(1)
-def _reader() -> tuple[_Words, int, int, frozenset]:
-    """(symbols of words, of the begin of a clause, of its end, of words with a common use)."""
+def _reader() -> tuple[_Words, int, int, frozenset, int]:
+    """(symbols of words, of the begin of a clause, of its end, of words with a common use, of what parts clauses)."""
     machine = grammar()[2]
     machine.symbol(frozenset())
     words = _Words()
     often = frozenset(words[w] for w in _OFTEN_HARMLESS)
-    return words, machine.symbol(frozenset(("START",))), machine.symbol(frozenset(("END",))), often
+    return words, machine.symbol(frozenset(("START",))), machine.symbol(frozenset(("END",))), often, words["\u0004"]
 
 
 def _joined(m: re.Match) -> str:
@@ -473,8 +473,9 @@ def _joined(m: re.Match) -> str:
     return m.group()
 
 
-def clauses(text: str) -> Iterator[str]:
-    """The clauses of a folded text. Notes are clauses apart from the sentence that they hang on."""
+def prepared(text: str) -> str:
+    """A folded text in plain words, its clauses parted by U+0004. Notes are clauses apart from the sentence that they hang
+    on."""
     notes: list[str] = []
     if "\\" in text:
         while (rest := _NOTE.sub(lambda m: notes.append(m[1]) or " ", text)) != text:
@@ -483,12 +484,45 @@ def clauses(text: str) -> Iterator[str]:
             while (rest := _NOTE.sub(lambda m: notes.append(m[1]) or " ", notes[i])) != notes[i]:
                 notes[i] = rest
         text = _OPEN_NOTE.sub("\n\n", "\n\n".join([text, *notes]))
-    text = _cut_han(_rejoin(text))
-    text = _COMMAND.sub(" ", text)
-    for part in _END.split(text):
-        if part and (len(part) > 3 or _HAN.search(part)):
-            part = " ".join(part.split())
-            yield _SPACED.sub(_joined, part) if _SINGLE.search(part) else part
+    text = _COMMAND.sub(" ", _cut_han(_rejoin(text)))
+    return " ".join(_END.sub("\u0004", text).split())
+
+
+def clauses(text: str) -> Iterator[str]:
+    """The clauses of a prepared text that hold a word without which no rule is met. All that is left out has no weight."""
+    symbols = list(map(_reader()[0].__getitem__, _TOKEN.findall(text)))
+    found = np.array(symbols, np.int32)
+    cut = found == _reader()[4]
+    held = set(np.cumsum(cut)[_pivotal()[found]].tolist())
+    parts = text.split("\u0004")
+    if _SINGLE.search(text):  # single letters may be a word
+        held |= {i for i, part in enumerate(parts) if _SINGLE.search(part)}
+    for i in sorted(held):
+        part = parts[i].strip()
+        yield _SPACED.sub(_joined, part) if _SINGLE.search(part) else part
+
+
+#: Names of tags and words that are met often; they only choose which word of a rule is looked for first.
+_COMMON = frozenset("YOU ROLE COP THEY NOT MUST WISH I WILL ME WHO TOLD SAY LINK ASKED HOT PART OPEN LEGS DET START END PERSON GROUP THEM THEYS".split()) | frozenset(
+    "of to the a an be is not would only or and in on for with that this what who no than never have where so as i you we keep get better put down out out way away your where off kind sort even long live exist without , : ; —".split()
+)
+_PIVOTAL: dict[int, np.ndarray] = {}
+
+
+@lru_cache(1)
+def _pivots() -> frozenset:
+    return grammar()[2].pivots(_COMMON)
+
+
+def _pivotal() -> np.ndarray:
+    """Whether each symbol has a tag without one of which no rule is met."""
+    machine = grammar()[2]
+    n = len(machine.symbols)
+    if n not in _PIVOTAL:
+        pivots = _pivots()
+        _PIVOTAL.clear()
+        _PIVOTAL[n] = np.array([bool(t & pivots) for t in machine.symbols], bool)
+    return _PIVOTAL[n]
 
 
 _COMMAND = re.compile(r"[\\{}~%](?:(?<=\\)[a-z]+)?")
@@ -498,7 +532,7 @@ _QUOTE_SIGNS = frozenset("\"`“„«")
 def clause_score(clause: str) -> float:
     """The greatest weight of a passage in a clause."""
     machine = grammar()[2]
-    words, begin, end, often = _reader()
+    words, begin, end, often, _ = _reader()
     found = _TOKEN.findall(clause)
     symbols = list(map(words.__getitem__, found))
     if not any(symbols):
@@ -539,6 +573,8 @@ _SOFT_HYPHEN = re.compile(r"\\-(?![ \t\r\n])")
 
 def folded(text: str) -> str:
     """A text in plain lower-case letters."""
+    if text.isascii():
+        return _SOFT_HYPHEN.sub("", text.lower())
     points = folding()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     plain = points[points != 0].tobytes().decode("utf-32-le")
     return _SOFT_HYPHEN.sub("", plain)
@@ -558,7 +594,7 @@ def parts(text: str) -> Iterator[str]:
 
 def scores(texts: list[str]) -> np.ndarray:
     """Score of each text."""
-    return np.array([max((clause_score(c) for part in parts(t) for c in clauses(folded(part))), default=0.0) for t in texts])
+    return np.array([max((clause_score(c) for part in parts(t) for c in clauses(prepared(folded(part)))), default=0.0) for t in texts])
 
 
 def score_documents(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

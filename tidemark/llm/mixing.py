@@ -26,42 +26,38 @@ def _asked(targets: DataFrame) -> DataFrame:
     return first.select("source", F.col("t.target_share").alias("target"), F.col("t.max_repeats").cast("long").alias("most"))
 
 
-def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def plan(sized: DataFrame, targets: DataFrame, total: int | str | None = None) -> DataFrame:
     """How often each source is repeated: source, target, most, available, budget, copies, below.
 
     ``sized`` has source, hash (0 to 2**63 - 1) and n_tokens; ``targets`` source, target_share and max_repeats. Documents
     with a hash less than ``below`` give one copy more than ``copies``. Without ``total`` the whole is as large as it can
     be with every share exact: sources without tokens are left out and the others' shares are scaled to sum to 1. With
-    ``total`` a source that is too small gives all it may and falls short. Null or non-positive shares and repeats give
+    ``total``, or ``"all"`` for the tokens of all target sources, a source that is too small gives all it may and falls
+    short. Null or non-positive shares and repeats give
     nothing; a source named twice counts once, with its first share by value; sources without a target give nothing.
     """
     sums = sized.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("available"))
     shares = cut(_asked(targets).join(sums, "source", "left").withColumn("available", F.coalesce("available", F.lit(0))))
     live = shares.where(F.col("available") > 0)
-    scale = live.agg(F.sum("target")).first()[0]
+    scale, tokens, sources = live.agg(F.sum("target"), F.sum("available"), F.count(F.lit(1))).first()
     if scale is None:
         return shares.select("*", F.lit(0.0).alias("budget"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("below"))
     part = F.col("target") / F.lit(scale)
-    whole = total if total is not None else live.agg(F.min(F.col("available") * F.col("most") / part)).first()[0]
+    whole = tokens if total == "all" else total if total is not None else live.agg(F.min(F.col("available") * F.col("most") / part)).first()[0]
     budget = F.least(F.lit(float(whole)) * part, (F.col("available") * F.col("most")).cast("double"))
     shares = shares.withColumn("budget", F.when(F.col("available") > 0, budget).otherwise(0.0))
     copies = F.least(F.floor(F.try_divide("budget", "available") + 1e-12).cast("long"), "most")
     shares = shares.withColumn("copies", F.coalesce(copies, F.lit(0).cast("long")))
-    below = _thresholds(sized, shares.where((F.col("budget") > 0) & (F.col("copies") < F.col("most"))))
+    below = _thresholds(sized, shares.where((F.col("budget") > 0) & (F.col("copies") < F.col("most"))), sources)
     return cut(shares.join(below, "source", "left").withColumn("below", F.coalesce("below", F.lit(0).cast("long"))))
 
 
-def target_tokens(sized: DataFrame, targets: DataFrame) -> int:
-    """The tokens of all sources that have a target: the whole of a mixture as large as what there is."""
-    sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"))
-    return sums.join(_asked(targets), "source", "left_semi").agg(F.sum("n")).first()[0] or 0
-
-
-def _thresholds(sized: DataFrame, shares: DataFrame) -> DataFrame:
-    """source and below: up to which hash the documents of a source fit into what its whole copies leave of its budget."""
+def _thresholds(sized: DataFrame, shares: DataFrame, n: int) -> DataFrame:
+    """source and below: up to which hash the documents of a source fit into what its whole copies leave of its budget.
+    ``n`` is at least the number of shares."""
     rest = F.col("budget") - F.col("copies") * F.col("available")
-    still = cut(shares.select("source", rest.alias("rest"), F.lit(0).cast("long").alias("low")))
-    done, shift, n = None, 63, still.count()
+    still = shares.select("source", rest.alias("rest"), F.lit(0).cast("long").alias("low"))
+    done, shift = None, 63
     by = Window.partitionBy("source").orderBy("bucket")
     while n:
         # of each source a bucket is open: all of it at first, then the one in which the budget ran out

@@ -20,7 +20,7 @@ def _sized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixture(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    return mixing.mix(sized, mixing.plan(sized, targets, mixing.target_tokens(sized, targets)))
+    return mixing.mix(sized, mixing.plan(sized, targets, "all"))
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -161,6 +161,29 @@ class Composition:
         self.states, self.known = [start], {start: 0}
         self.arcs: dict[tuple[int, int], tuple[int, float]] = {}
 
+    def pivots(self, common: frozenset) -> frozenset:
+        """Tags without one of which no clause has a weight. Of each rule of the last transducer the element that is met least
+        often is taken, ``common`` names being met most; if it names what an earlier transducer writes, then the pivots of
+        the rules that write it."""
+        found: set[str] = set()
+        done: set[tuple[int, Rule]] = set()
+
+        def add(layer: int, rule: Rule) -> None:
+            if (layer, rule) in done:
+                return
+            done.add((layer, rule))
+            best = min((e for e in rule.elements if e.names), key=lambda e: (bool(e.names & common), len(e.names), -max(map(len, e.names))))
+            for name in best.names:
+                found.add(name)
+                for below in range(layer):
+                    for r in self.layers[below].rules:
+                        if r.mark == name:
+                            add(below, r)
+
+        for rule in self.layers[-1].rules:
+            add(len(self.layers) - 1, rule)
+        return frozenset(found)
+
     def symbol(self, tags: frozenset) -> int:
         """The number of a set of tags."""
         if tags not in self.numbers:
