@@ -39,8 +39,8 @@ def beyond(first: DataFrame, steps: DataFrame, partition: list[str], offset: str
     first arrival (null: never known to have arrived, so not taken in); ``span`` is the least and the greatest of them.
 
     Steps are cut into buckets of arrival, about as many as a partition has steps and never beyond the records' own span,
-    however far a clock is off. They are written and counted: up to :data:`BROADCAST_ROWS` pieces are broadcast; more are
-    met in a shuffle by partition, bucket and salt.
+    however far a clock is off, which makes at most three pieces a step. The steps are written and counted: up to
+    :data:`BROADCAST_ROWS` pieces are broadcast; more are met in a shuffle by partition, bucket and salt.
     """
     low, high = span
     steps = cut(steps)
@@ -63,7 +63,7 @@ def beyond(first: DataFrame, steps: DataFrame, partition: list[str], offset: str
     met = met & (bucket(F.col("__first")) == F.col("__bucket")) & (F.col(offset) <= F.col("__point"))
     for c in partition:
         met = met & (F.col(c) == F.col(names[c]))
-    if pieces.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if 3 * n <= BROADCAST_ROWS:
         return first.join(F.broadcast(pieces), met, "left_anti")
     left, right = replicated(first, pieces, F.col(offset), 8)
     right = right.withColumnRenamed(SALT, f"__r_{SALT}")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,17 +99,21 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records that no successful run has taken in: the next batch of a processor that takes over these runs."""
-    runs, out = table(spark, folder, "recovery_points").where(F.col("status") == "ok"), None
-    place = scratch(spark, "p4")
-    for engine, name, version, point in (("kv", "kv_wal", "sequence", "kv_sequence"), ("sql", "sql_wal", "commit_version", "sql_commit_version")):
+    runs, place = table(spark, folder, "recovery_points").where(F.col("status") == "ok"), scratch(spark, "p4")
+
+    def left(engine: str, name: str, version: str, point: str) -> DataFrame:
         log = table(spark, folder, name).select("node_id", version, "arrived_at")
         processor = LogProcessor(spark, f"{place}/{engine}", ["node_id"], version, "arrived_at")
         processor.adopt(runs, "started_at", point)
-        processor.run(log, lambda df, engine=engine, version=version: df.select(F.lit(engine).alias("engine"), "node_id", version))
-        taken = processor.results()
-        part = (log.limit(0).select(F.lit(engine).alias("engine"), "node_id", version) if taken is None else taken).withColumnRenamed(version, "version")
-        out = part if out is None else out.unionByName(part)
-    return out
+        processor.run(log, lambda df: df.select(F.lit(engine).alias("engine"), "node_id", version))
+        found = processor.results()
+        return (log.limit(0).select(F.lit(engine).alias("engine"), "node_id", version) if found is None else found).withColumnRenamed(version, "version")
+
+    logs = (("kv", "kv_wal", "sequence", "kv_sequence"), ("sql", "sql_wal", "commit_version", "sql_commit_version"))
+    with ThreadPoolExecutor(len(logs)) as pool:  # the logs do not depend on one another, so their small jobs overlap
+        started = [pool.submit(inheritable_thread_target(spark)(left), *log) for log in logs]
+        kv, sql = (s.result() for s in started)
+    return kv.unionByName(sql)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,9 +65,16 @@ class LogProcessor:
         self._create("adopted.json", {})
 
     def _steps(self, after: int) -> DataFrame | None:
-        """What all batches up to ``after`` took in (-1: what was adopted)."""
-        name = f"steps-{after}"
-        return self.spark.read.parquet(self.files.uri(name)) if self.files.exists(name) else None
+        """What all batches up to ``after`` took in (-1: what was adopted): kept from the run that first asks for it."""
+        if after < 0:
+            return self.spark.read.parquet(self.files.uri("steps--1")) if self.files.exists("adopted.json") else None
+        if not self.files.exists(f"steps-{after}/_SUCCESS"):
+            before = self._steps(after - 1)
+            taken = self.spark.read.parquet(self.files.uri(f"plan-{after}")).where(F.col("__upto").isNotNull()).select(*self.partition, "__upto", "__point")
+            taken = taken if before is None else taken.unionByName(before)
+            steps = offset_steps(taken, self.partition, "__upto", "__point").select(*self.partition, "__upto", "__point")
+            steps.coalesce(1).write.mode("overwrite").parquet(self.files.uri(f"steps-{after}"))
+        return self.spark.read.parquet(self.files.uri(f"steps-{after}"))
 
     def _plan(self, log: DataFrame, number: int) -> bool:
         """Write down the end of each partition; False if none has moved since the last batch."""
@@ -76,13 +83,12 @@ class LogProcessor:
         ends = ends.agg(F.max(at).alias("__upto"), F.min(at).alias("__from"), F.max(self.offset).alias("__point"), F.count_if(at.isNull()).alias("__unknown"))
         ends.coalesce(1).write.mode("overwrite").parquet(self.files.uri(f"plan-{number}"))  # one row a partition
         now = self.spark.read.parquet(self.files.uri(f"plan-{number}"))
+        low, upto, moved = now.agg(F.min("__from"), F.max("__upto"), F.count(F.lit(1))).first()
+        last = None
         if number:
             before = self.spark.read.parquet(self.files.uri(f"plan-{number - 1}"))
-            moved = now.join(before, [*self.partition, "__point", "__unknown"], "left_anti").limit(1).count()
             last = self._read(f"plan-{number - 1}.json")["upto"]
-        else:
-            moved, last = now.limit(1).count(), None
-        low, upto = now.agg(F.min("__from"), F.max("__upto")).first()
+            moved = upto != last or now.join(before, [*self.partition, "__point", "__unknown"], "left_anti").limit(1).count()
         if not moved and upto == last:
             self.files.delete(f"plan-{number}")
             return False
@@ -120,10 +126,6 @@ class LogProcessor:
         if missing := [c for c in self.keys if c not in out.columns]:
             raise ValueError(f"the results lack {', '.join(missing)}, by which the sink knows them")
         out.write.mode("overwrite").parquet(self.files.uri(f"batch={number}"))
-        taken = self.spark.read.parquet(self.files.uri(f"plan-{number}")).where(F.col("__upto").isNotNull()).select(*self.partition, "__upto", "__point")
-        taken = taken if before is None else taken.unionByName(before)
-        steps = offset_steps(taken, self.partition, "__upto", "__point").select(*self.partition, "__upto", "__point")
-        steps.coalesce(1).write.mode("overwrite").parquet(self.files.uri(f"steps-{number}"))
         self._create(f"commit-{number}.json", {"batch": number})
         return number
 
